@@ -57,7 +57,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.components(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.hex(F.reverse("fp"))).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,7 +59,7 @@ def simhash(text: str, size: int, words: int = 1) -> np.ndarray:
 def _fingerprints(size: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [simhash(t, size, words).tobytes() for t in texts(batch.column("text"))]
+            prints = [simhash(t, size, words).byteswap().tobytes() for t in texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints, pa.binary())], names=["id", "fp"])
 
     return run
@@ -197,7 +197,7 @@ def components(
     prints = materialize(slim.mapInArrow(_fingerprints(shingle, words), "id long, fp binary"), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
     links = link_fingerprints(classes.select("fp"), radius, lanes or block_lanes(64 * words, radius))
-    node = lambda c: F.xxhash64(c) if words > 1 else F.conv(F.hex(F.reverse(c)), 16, -10).cast("long")
+    node = lambda c: F.xxhash64(c) if words > 1 else F.conv(F.hex(c), 16, -10).cast("long")
     linked = connected_components(links.select(node(F.col("a")).alias("src"), node(F.col("b")).alias("dst")))
     members = linked.join(classes.select("fp", "rep", node(F.col("fp")).alias("node")), "node").select("fp", "rep", "root")
     least = members.groupBy("root").agg(F.min("rep").alias("least"))
