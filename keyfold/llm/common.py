@@ -32,11 +32,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/keyfold/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and its path."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` through the shared folder: cuts lineage, survives lost executors."""
+    return stored(df, name)[0]
 
 
 def release(spark: SparkSession) -> None:
@@ -81,6 +86,30 @@ def texts(column: pa.Array, step: int = 256) -> Iterator[str]:
             yield t or ""
 
 
+def in_steps(column: pa.Array, size: int = 1_000_000) -> Iterator[list[str]]:
+    """The column's texts in lists of about ``size`` characters."""
+    held, n = [], 0
+    for t in texts(column):
+        held.append(t)
+        n += len(t)
+        if n > size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+_held: dict = {}
+
+
+def once_a_worker(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept from task to task of a Python worker; only the latest key is held."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 class Memory:
     """Remembers values of keys in two generations of bounded size.
 
@@ -90,21 +119,29 @@ class Memory:
     def __init__(self, limit: int) -> None:
         self.half, self.young, self.old = limit // 2, {}, {}
 
-    def fetch(self, keys: set, make: Callable[[list], list]) -> dict:
-        """A dict that has all ``keys`` at least; ``make`` is asked for those not known."""
+    def fetch(self, keys: list, make: Callable[[list], list]) -> list:
+        """The keys' values in order; ``make`` is asked for those not known. Keys are distinct."""
         young, old = self.young, self.old
-        missing = []
-        for k in keys:
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
+        out = [young.get(k) for k in keys]
+        missing, places = [], []
+        for i, v in enumerate(out):
+            if v is None:
+                k = keys[i]
+                v = out[i] = old.get(k)
+                if v is None:
                     missing.append(k)
+                    places.append(i)
+                else:
+                    young[k] = v
         if missing:
-            young.update(zip(missing, make(missing), strict=True))
+            made = make(missing)
+            for i, v in zip(places, made, strict=True):
+                out[i] = v
+            if len(missing) < self.half:
+                young.update(zip(missing, made, strict=True))
         if len(young) > self.half:
             self.young, self.old = {}, young
-        return young
+        return out
 
 
 def encode_joined(tokenizer, parts: list[str], separator: str, step: int = 1000) -> Iterator[tuple[list[int], list[int]]]:

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import Memory, encode_joined, text_or_empty, texts
+from keyfold.llm.common import Memory, encode_joined, in_steps, once_a_worker, text_or_empty
+from keyfold.llm.pieces import cut, steps
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 #: Chunks whose counts a Python worker remembers (about 150 MB).
 REMEMBERED = 700_000
-_AFTER_SPACE = re.compile(r"[^\S ] |  ")
-_SPLIT = re.compile(r"(?<=\S)(?= )")
+#: Texts that begin with a space, or have one after white space, are counted whole.
+_NOT_PLAIN = r"^ |[\t-\r\x1c-\x20\x{85}\pZ] "
 
 
 def file_digest(path: str) -> str:
@@ -29,8 +31,8 @@ class _TokenizersCounter:
     """Counts with a tokenizers .json file.
 
     A byte-level tokenizer never joins across a space that follows another character, so a text
-    is cut before such spaces and the counts of chunks are remembered. Other tokenizers get the
-    whole text.
+    is cut before such spaces and the counts of pieces are remembered. Other tokenizers, and
+    texts that run spaces together, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,38 +54,40 @@ class _TokenizersCounter:
             and not spec.get("normalizer")
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec.get("added_tokens", []))
         )
-        self.known, self.bare = Memory(REMEMBERED), Memory(REMEMBERED // 2)
+        self.known = Memory(REMEMBERED)
 
     def encode_counts(self, items: list[str]) -> list[int]:
         return [len(e) for e in self.tokenizer.encode_batch(items, add_special_tokens=False)]
 
-    def chunks(self, text: str) -> list[str]:
-        if _AFTER_SPACE.search(text) or text[:1] == " ":
-            return _SPLIT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)] if rest else [first]
-
-    def counts(self, batch: list[str]) -> list[int]:
+    def counts(self, batch: pa.Array) -> np.ndarray:
         if not self.chunked:
-            return self.encode_counts(batch)
-        cut = [self.chunks(t) for t in batch]
-        get = self.known.fetch(set().union(*cut), self._chunk_counts).__getitem__
-        return [sum(map(get, chunks)) for chunks in cut]
-
-    def _chunk_counts(self, chunks: list[str]) -> list[int]:
-        """A full stop or comma that ends a chunk after a letter is a token of its own."""
-        bare = [c[:-1] if c[-1:] in (".", ",") and c[-2:-1].isalpha() else c for c in chunks]
-        known = self.bare.fetch(set(bare), self._bare_counts)
-        return [known[b] + (len(b) < len(c)) for b, c in zip(bare, chunks, strict=True)]
-
-    def _bare_counts(self, chunks: list[str]) -> list[int]:
-        plain = [c for c in chunks if c[:1] == " " and c[1:].isalnum()]
+            return np.array([n for some in in_steps(batch) for n in self.encode_counts(some)], np.int64)
+        return np.concatenate([np.zeros(0, np.int64), *map(self._piece_counts, steps(batch))])
+
+    def _piece_counts(self, batch: pa.Array) -> np.ndarray:
+        whole = pc.match_substring_regex(batch, _NOT_PLAIN).to_numpy(zero_copy_only=False)
+        p = cut(batch, lower=False)
+        sizes = np.array(self.known.fetch(p.bare, self._bare_counts), np.int64)
+        sizes = sizes[p.bare_of] + (p.mark > 0)
+        ends = np.concatenate([[0], np.cumsum(sizes[p.which])])
+        first = p.which[p.ends[:-1]]
+        # the first piece has no space before it
+        heads = self.encode_counts(p.distinct.take(pa.array(first)).to_pylist())
+        out = ends[p.ends[1:]] - ends[p.ends[:-1]] - sizes[first] + heads
+        at = np.flatnonzero(whole)
+        if len(at):
+            out[at] = [n for some in in_steps(batch.take(pa.array(at))) for n in self.encode_counts(some)]
+        return out
+
+    def _bare_counts(self, pieces: list[str]) -> list[int]:
+        """Of pieces with a space before them."""
+        plain = [" " + c for c in pieces if c.isalnum()]
         found = {}
         for (_, at), k in zip(encode_joined(self.tokenizer, plain, ""), range(0, len(plain), 1000), strict=True):
             found.update(zip(plain[k : k + 1000], map(int.__sub__, at[1:], at), strict=True))
-        rest = [c for c in chunks if c not in found]
+        rest = [" " + c for c in pieces if " " + c not in found]
         found.update(zip(rest, self.encode_counts(rest), strict=True))
-        return [found[c] for c in chunks]
+        return [found[" " + c] for c in pieces]
 
 
 class _SentencepieceCounter:
@@ -94,8 +98,8 @@ class _SentencepieceCounter:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def counts(self, batch: list[str]) -> list[int]:
-        return [len(ids) for ids in self.model.encode(batch, num_threads=1)]
+    def counts(self, batch: pa.Array) -> np.ndarray:
+        return np.array([len(ids) for some in in_steps(batch) for ids in self.model.encode(some, num_threads=1)], np.int64)
 
 
 def counter(path: str) -> _TokenizersCounter | _SentencepieceCounter:
@@ -104,16 +108,9 @@ def counter(path: str) -> _TokenizersCounter | _SentencepieceCounter:
 
 def _encode(path: str, version: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path)
+        count = once_a_worker(("counter", path), lambda: counter(path))
         for batch in batches:
-            n, held, size = [], [], 0
-            for text in texts(batch.column("content")):
-                held.append(text)
-                size += len(text)
-                if size > 2_000_000:
-                    n += count.counts(held)
-                    held, size = [], 0
-            n += count.counts(held)
+            n = count.counts(batch.column("content"))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([version] * len(n), pa.string()), batch.column("digest"), pa.array(n, pa.int64())],
                 names=["tokenizer", "digest", "n_tokens"],

@@ -11,13 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import Memory, encode_joined, materialize, new_path, text_or_empty, texts
+from keyfold.llm.common import Memory, encode_joined, in_steps, materialize, new_path, once_a_worker, text_or_empty
+from keyfold.llm.pieces import cut, gather, steps
 
 # Fixed values of the zstandard seekable format and of skippable frames.
 SKIPPABLE = 0x184D2A50
@@ -61,8 +63,8 @@ class Encoder:
             spec = json.load(f)
         steps = (spec.get("normalizer") or {}).get("normalizers", [])
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        self.tokenizer, self.bare = tokenizer, Memory(REMEMBERED // 2)
-        self.marks = {m: _bytes(self.encode([m])[0]) for m in ".,"}
+        self.tokenizer = tokenizer
+        self.marks = [_bytes(ids) for ids in self.encode([".", ","])]
         self.chunked = (
             [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"]
             and steps[1]["pattern"] == {"Regex": r"\s+"}
@@ -70,29 +72,37 @@ class Encoder:
             and (pre[0]["pattern"], pre[0]["behavior"], pre[0]["invert"]) == ({"Regex": _WORDS}, "Removed", True)
             and not pre[1]["use_regex"]
             and not pre[1]["add_prefix_space"]
+            and [len(m) for m in self.marks] == [4, 4]
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec.get("added_tokens", []))
         )
 
-    def __call__(self, batch: list[str]) -> list[bytes]:
+    def __call__(self, batch: pa.Array) -> Iterator[bytes]:
         if not self.chunked:
-            return [_bytes(ids) for ids in self.encode(batch)]
-        cut = [t.replace("\n", " ").split(" ") for t in batch]
-        get = self.known.fetch(set().union(*cut), self._chunk_ids).__getitem__
-        return [b"".join(map(get, chunks)) for chunks in cut]
-
-    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        """A full stop or comma after a letter is a token of its own, and case does not count."""
-        bare = []
-        for c in chunks:
-            if c[-1:] in (".", ",") and c[-2:-1].isalpha():
-                c = c[:-1]
-            bare.append(c.lower() if c.isascii() else c)
-        known = self.bare.fetch(set(bare), self._bare_ids)
-        return [known[b] + (self.marks[c[-1]] if len(b) < len(c) else b"") for b, c in zip(bare, chunks, strict=True)]
-
-    def _bare_ids(self, chunks: list[str]) -> list[bytes]:
+            for some in in_steps(batch):
+                yield from map(_bytes, self.encode(some))
+        else:
+            for some in steps(batch):
+                yield from self._pieces(some)
+
+    def _pieces(self, batch: pa.Array) -> Iterator[bytes]:
+        p = cut(pc.replace_substring(batch, "\n", " "), lower=True)
+        known = self.known.fetch(p.bare, self._bare_ids)
+        flat = np.frombuffer(b"".join([*known, *self.marks]), "<u4")
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.cumsum(sizes) - sizes
+        # each distinct piece: the bare piece's ids and the mark's
+        n = np.stack([sizes[p.bare_of], (p.mark > 0).astype(np.int64)], axis=1)
+        at = np.stack([starts[p.bare_of], len(flat) - 3 + p.mark], axis=1)
+        flat = gather(flat, at.ravel(), n.ravel())
+        sizes = n.sum(axis=1)
+        starts = np.cumsum(sizes) - sizes
+        for i in range(len(p.ends) - 1):
+            which = p.which[p.ends[i] : p.ends[i + 1]]
+            yield gather(flat, starts[which], sizes[which]).tobytes()
+
+    def _bare_ids(self, pieces: list[str]) -> list[bytes]:
         out = []
-        for ids, at in encode_joined(self.tokenizer, chunks, " "):
+        for ids, at in encode_joined(self.tokenizer, pieces, " "):
             raw = _bytes(ids)
             out += [raw[4 * a : 4 * b] for a, b in zip(at, at[1:], strict=False)]
         return out
@@ -199,19 +209,13 @@ def _write(folder: str, tokenizer_path: str, end_id: int | None):
         writer = encode = None
         for batch in batches:
             if writer is None:
-                encode = Encoder(tokenizer_path)
+                encode = once_a_worker(("encoder", tokenizer_path), lambda: Encoder(tokenizer_path))
                 files.create_dir(os.path.dirname(place), recursive=True)
                 sink = files.open_output_stream(place, compression=None)
                 writer = Writer(sink)
             ids = batch.column("id").to_pylist()
-            held, first, size = [], 0, 0
-            for i, text in enumerate(texts(batch.column("text")), 1):
-                held.append(text)
-                size += len(text)
-                if size > 1_000_000 or i == batch.num_rows:
-                    for doc_id, raw in zip(ids[first:i], encode(held), strict=True):
-                        writer.add(doc_id, raw + end)
-                    held, first, size = [], i, 0
+            for doc_id, raw in zip(ids, encode(batch.column("text")), strict=True):
+                writer.add(doc_id, raw + end)
         if writer:
             writer.close()
             sink.close()

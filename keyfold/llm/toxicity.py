@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import Memory, text_or_empty, texts
+from keyfold.llm.common import Memory, once_a_worker, text_or_empty, texts
 
 #: Labelled rows of each class that training takes at most, and the longest text it takes, in
 #: characters. Scoring reads all rows and whole texts.
@@ -125,7 +125,8 @@ class Scorer:
         if not self.model.toxic:
             return np.zeros((len(batch), 2))
         found = [windows(t) for t in batch]
-        known = self.known.fetch(set().union(*found), self._distances).__getitem__
+        distinct = list(set().union(*found))
+        known = dict(zip(distinct, self.known.fetch(distinct, self._distances), strict=True)).__getitem__
         out = []
         for words in found:
             best = sorted(map(known, words), reverse=True)[:2] + [0.0, 0.0]
@@ -198,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def _scored(model: Model, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = model.scorer()
+        scorer = once_a_worker(("scorer", model), model.scorer)
         for batch in batches:
             scores, held = [], []
             for t in texts(batch.column(text_col)):
@@ -247,7 +248,7 @@ def keep_ordinary(docs: DataFrame, model: Model, *, text_col: str = "text", thre
     """The rows of ``docs``, all columns, that score under the threshold; they stay where they are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = model.scorer()
+        scorer = once_a_worker(("scorer", model), model.scorer)
         for batch in batches:
             keep = []
             for at in range(0, batch.num_rows, 256):
