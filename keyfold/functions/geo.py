@@ -58,7 +58,7 @@ def distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     u = F.sin((F.radians(lat2) - F.radians(lat1)) / 2)
     v = F.sin((F.radians(lon2) - F.radians(lon1)) / 2)
     a = F.pow(u, 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(v, 2)
-    return F.lit(2 * RADIUS) * F.asin(F.least(F.sqrt(a), F.lit(1.0)))
+    return F.lit(2 * RADIUS) * F.asin(F.when(a > 1, F.lit(1.0)).otherwise(F.sqrt(a)))
 
 
 def in_unit(metres: Column, unit: str) -> Column:
