@@ -190,7 +190,8 @@ def components(
 
     A text of fewer words is one shingle; a text without words, or null, has fingerprint zero and
     links like any other. Null ids take the component of their text but are never its id: a
-    component of null ids alone has a null id. Repeated rows come out repeated. An empty table
+    component of null ids alone has a null id. Repeated rows come out repeated; rows of one id with
+    different texts are linked by their texts alone. An empty table
     gives an empty result. Other columns are not looked at.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
