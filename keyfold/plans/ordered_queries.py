@@ -190,8 +190,8 @@ def geopos_center(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _haversine(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
-    return f"""(2 * 6372797.5::DOUBLE * asin(least(1.0::DOUBLE, sqrt(sin((radians({lat2}) - radians({lat1})) / 2) * sin((radians({lat2}) - radians({lat1})) / 2)
-+ cos(radians({lat1})) * cos(radians({lat2})) * sin((radians({lon2}) - radians({lon1})) / 2) * sin((radians({lon2}) - radians({lon1})) / 2)))))"""
+    return f"""(CASE WHEN {lat1} IS NOT NULL AND {lat2} IS NOT NULL THEN 2 * 6372797.5::DOUBLE * asin(least(1.0::DOUBLE, sqrt(sin((radians({lat2}) - radians({lat1})) / 2) * sin((radians({lat2}) - radians({lat1})) / 2)
++ cos(radians({lat1})) * cos(radians({lat2})) * sin((radians({lon2}) - radians({lon1})) / 2) * sin((radians({lon2}) - radians({lon1})) / 2)))) END)"""
 
 
 @query(f"""WITH c AS ({_CENTRES}), p AS (SELECT 'cust:' || range AS a, 'cust:' || (range * 7 % 1400 + 1) AS b FROM range(1, 120)),

@@ -10,6 +10,8 @@ from keyfold.session import new_folder
 from keyfold.sources import fixtures as fx
 from keyfold.streaming import feeds
 
+#: Files of the log may come in any order, so rows may be as late as the log is long.
+_LATE = "60 days"
 _COLUMNS = ("seq", "key", "op", "value", "ts")
 
 
@@ -58,11 +60,11 @@ def stream_fold(spark: SparkSession, sf: str) -> DataFrame:
 s AS (SELECT key, ts, sum(new) OVER (PARTITION BY key ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM l)
 SELECT key, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM s GROUP BY key, run""")
 def stream_ttl_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    found = feeds.run_once(feeds.sessions(_stream(spark, sf), "6 hours"), "complete")
+    found = feeds.run_once(feeds.sessions(_stream(spark, sf), "6 hours", _LATE), "complete")
     return found.select("key", F.unix_micros("start").alias("start_us"), (F.unix_micros("end") - 6 * 3600 * 1_000_000).alias("last_us"), "n")
 
 
 @query("SELECT key, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, count(*) AS n FROM kv_log GROUP BY ALL")
 def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
-    found = feeds.run_once(feeds.windows(_stream(spark, sf), "1 day"), "complete")
+    found = feeds.run_once(feeds.windows(_stream(spark, sf), "1 day", late=_LATE), "complete")
     return found.select("key", F.unix_micros("start").alias("start_us"), "n")
