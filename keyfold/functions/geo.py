@@ -24,32 +24,25 @@ def _step(x: Column, limit: float) -> Column:
 
 def cell(lon: Column, lat: Column) -> Column:
     """52 bits, longitude's and latitude's steps interleaved, longitude's bit first."""
-    return _interleaved(_step(lon, MAX_LON), 1).bitwiseOR(_interleaved(_step(lat, MAX_LAT), 0))
+    return F.shiftleft(_spread(_step(lon, MAX_LON)), 1).bitwiseOR(_spread(_step(lat, MAX_LAT)))
 
 
-def _bits(x: Column, bit) -> Column:
-    """Sum of bit(x, i) over the bits of a step; x is named once, so plans stay small."""
-    return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(bit(x, i)))
+def _spread(x: Column) -> Column:
+    """The bits of x at every second place: its binary digits read in base four."""
+    return F.conv(F.bin(x), 4, 10).cast("long")
 
 
-def _shift(direction: str, x: Column, by: Column) -> Column:
-    return F.call_function(f"shift{direction}", x, by.cast("int"))
-
-
-def _interleaved(x: Column, shift: int) -> Column:
-    """The bits of x at every second place."""
-    return _bits(x, lambda x, i: _shift("left", _shift("right", x, i).bitwiseAND(F.lit(1).cast("long")), i * 2 + shift))
-
-
-def _every_second(x: Column, shift: int) -> Column:
-    return _bits(x, lambda x, i: _shift("left", _shift("right", x, i * 2 + shift).bitwiseAND(F.lit(1).cast("long")), i))
+def _every_second(x: Column) -> Column:
+    """The bits of x at even places: base-four digits, all 0 or 1, read as binary."""
+    even = x.bitwiseAND(F.lit(0x5555555555555555)).cast("string")
+    return F.conv(F.conv(even, 10, 4), 2, 10).cast("long")
 
 
 def centre(c: Column) -> tuple[Column, Column]:
     """Longitude and latitude of a cell's centre."""
     cells = float(1 << BITS)
-    lon = (_every_second(c, 1) + 0.5) / cells * (2 * MAX_LON) - MAX_LON
-    lat = (_every_second(c, 0) + 0.5) / cells * (2 * MAX_LAT) - MAX_LAT
+    lon = (_every_second(F.shiftright(c, 1)) + 0.5) / cells * (2 * MAX_LON) - MAX_LON
+    lat = (_every_second(c) + 0.5) / cells * (2 * MAX_LAT) - MAX_LAT
     return lon, lat
 
 
@@ -74,6 +67,6 @@ BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
 
 def geohash(lon: Column, lat: Column) -> Column:
     """The common text form of a place: 11 digits of five bits, latitude over -90 to 90."""
-    c = _interleaved(_step(lon, 180.0), 1).bitwiseOR(_interleaved(_step(lat, 90.0), 0))
+    c = F.shiftleft(_spread(_step(lon, 180.0)), 1).bitwiseOR(_spread(_step(lat, 90.0)))
     digits = [F.substr(F.lit(BASE32), F.call_function("shiftright", c, F.lit(47 - 5 * i)).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for i in range(10)]
     return F.concat(*digits, F.lit("0"))

@@ -10,21 +10,26 @@ POLYNOMIAL = 0x1021
 SLOTS = 16384
 
 
+def _remainder(byte: int) -> int:
+    """What a byte at the top of the register leaves after eight shifts."""
+    r = byte << 8
+    for _ in range(8):
+        r = (r << 1) ^ (POLYNOMIAL if r & 0x8000 else 0)
+    return r & 0xFFFF
+
+
 def crc16(text: Column) -> Column:
-    """CRC-16 of the text's UTF-8 bytes."""
+    """CRC-16 of the text's UTF-8 bytes, a step a byte."""
     data = text.cast("binary")
-    high = F.lit(0x8000)
-
-    def bit(r: Column, _: Column) -> Column:
-        shifted = F.shiftleft(r, 1)
-        return F.when(r.bitwiseAND(high) != 0, shifted.bitwiseXOR(F.lit(POLYNOMIAL))).otherwise(shifted).bitwiseAND(F.lit(0xFFFF))
+    table = F.array(*[F.lit(_remainder(b)) for b in range(256)])
 
-    def byte(r: Column, i: Column) -> Column:
+    def step(r: Column, i: Column) -> Column:
         b = F.conv(F.hex(F.substr(data, i, F.lit(1))), 16, 10).cast("int")
-        return F.aggregate(F.sequence(F.lit(1), F.lit(8)), r.bitwiseXOR(F.shiftleft(b, 8)), bit)
+        top = F.shiftright(r, 8).bitwiseXOR(b).bitwiseAND(F.lit(0xFF))
+        return F.shiftleft(r, 8).bitwiseXOR(F.element_at(table, top + 1)).bitwiseAND(F.lit(0xFFFF))
 
     n = F.octet_length(data)
-    return F.when(n == 0, F.lit(0)).otherwise(F.aggregate(F.sequence(F.lit(1), n), F.lit(0), byte))
+    return F.when(n == 0, F.lit(0)).otherwise(F.aggregate(F.sequence(F.lit(1), n), F.lit(0), step))
 
 
 def hash_tag(key: Column) -> Column:

@@ -24,9 +24,10 @@ def with_slot(rows: DataFrame, key: str = "key") -> DataFrame:
 
 
 def owners(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows with slot and owning node. Nodes number at most SLOTS, so their broadcast is bounded."""
-    n = F.broadcast(nodes.select("node", "first", "last"))
-    return with_slot(rows).join(n, F.col("slot").between(F.col("first"), F.col("last"))).drop("first", "last")
+    """Rows with slot and owning node. Ranges are dealt to their slots, SLOTS rows at most, so that
+    the broadcast is bounded and the join has an equal key."""
+    by_slot = nodes.select("node", F.explode(F.sequence("first", "last")).alias("slot"))
+    return with_slot(rows).join(F.broadcast(by_slot), "slot")
 
 
 def count_keys_in_slot(rows: DataFrame) -> DataFrame:
