@@ -27,7 +27,9 @@ def owners(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows with slot and owning node. Ranges are dealt to their slots, SLOTS rows at most, so that
     the broadcast is bounded and the join has an equal key."""
     by_slot = nodes.select("node", F.explode(F.sequence("first", "last")).alias("slot"))
-    return with_slot(rows).join(F.broadcast(by_slot), "slot")
+    # never null, so no null test of the slot moves below what made the rows
+    slots = with_slot(rows).withColumn("slot", F.coalesce("slot", F.lit(-1)))
+    return slots.join(F.broadcast(by_slot), "slot")
 
 
 def count_keys_in_slot(rows: DataFrame) -> DataFrame:
