@@ -15,6 +15,20 @@ def assign(spark: SparkSession, names: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "node string, first int, last int, state string")
 
 
+def add_node(nodes: DataFrame, name: str, first: int, last: int) -> DataFrame:
+    """Gives a range of slots to a node, which may be new; other nodes keep what is left of theirs."""
+    spark = nodes.sparkSession
+    below = nodes.withColumn("last", F.least("last", F.lit(first - 1)))
+    above = nodes.withColumn("first", F.greatest("first", F.lit(last + 1)))
+    new = spark.createDataFrame([(name, first, last, "ok")], "node string, first int, last int, state string")
+    return below.union(above).where("first <= last").union(new)
+
+
+def remove_node(nodes: DataFrame, name: str, heir: str) -> DataFrame:
+    """Another node takes over the slots."""
+    return nodes.withColumn("node", F.when(F.col("node") == name, heir).otherwise(F.col("node")))
+
+
 def mark_failed(nodes: DataFrame, name: str) -> DataFrame:
     return nodes.withColumn("state", F.when(F.col("node") == name, "fail").otherwise(F.col("state")))
 
@@ -49,3 +63,8 @@ def commit_index(nodes: DataFrame) -> DataFrame:
 def first_mismatch(leader: DataFrame, follower: DataFrame) -> DataFrame:
     """One row: the least (index, term) of the leader's log that the follower's lacks."""
     return leader.join(follower, ["index", "term"], "left_anti").agg(F.min("index").alias("index"))
+
+
+def best_candidate(nodes: DataFrame) -> DataFrame:
+    """One row: the node whose log is newest by (last_term, last_index), the least name in a tie."""
+    return nodes.orderBy(F.desc("last_term"), F.desc("last_index"), "node").limit(1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keyfold.operators import keyspace, oplog
 from keyfold.operators import strings as st
+from keyfold.plans.asof import as_of
 from keyfold.plans.registry import query
 from keyfold.sources import fixtures as fx
 
@@ -83,9 +84,8 @@ def merge_runs(spark: SparkSession, sf: str) -> DataFrame:
 JOIN kv_log e ON e.user_id = o.o_orderkey % 100 AND e.seq <= o.o_orderkey GROUP BY o.o_orderkey""")
 def asof_lookup(spark: SparkSession, sf: str) -> DataFrame:
     o = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 50 = 0").select("o_orderkey", (F.col("o_orderkey") % 100).alias("user_id"))
-    e = fx.kv_log(spark, sf)
-    found = o.join(e, (o.user_id == e.user_id) & (e.seq <= o.o_orderkey))
-    return found.groupBy(F.col("o_orderkey").alias("orderkey")).agg(F.max_by("value", "seq").alias("value"))
+    found = as_of(o, fx.kv_log(spark, sf).select("user_id", "seq", "value"), ["user_id"], "o_orderkey", "seq", ["value"])
+    return found.where("value IS NOT NULL").select(F.col("o_orderkey").alias("orderkey"), "value")
 
 
 _SO_FAR = "PARTITION BY key, epoch ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"

@@ -50,3 +50,23 @@ def fold_of_compacted(spark: SparkSession, sf: str) -> DataFrame:
     so.fold_to_snapshot(log.where("seq <= 6000").select("seq", "op", "key", "value"), path)
     rest = log.where("seq > 6000").select("seq", "op", "key", "value")
     return fold(spark.read.parquet(path).unionByName(rest)).select("key", "value")
+
+
+@query("SELECT doc_id AS key, strlen(text)::BIGINT AS size, md5(text) AS hash FROM documents WHERE text IS NOT NULL")
+def large_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Values over a limit are kept apart and joined back whole."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL").select(F.col("doc_id").alias("key"), F.col("text").alias("value"))
+    small, values = so.split_large(rows, 4000)
+    return so.join_large(small, values).select("key", F.octet_length("value").cast("long").alias("size"), F.md5("value").alias("hash"))
+
+
+@query("SELECT key, value FROM (SELECT * FROM kv_log QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE op <> 'DEL'")
+def truncated_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The log cut at a snapshot folds to the same state."""
+    log = fx.kv_log(spark, sf).select("seq", "op", "key", "value")
+    return fold(so.truncate(log, fold(log, snapshot=5000), 5000)).select("key", "value")
+
+
+@query("SELECT op, count(*) AS operations, sum(strlen(value))::BIGINT AS bytes, max(seq) AS last_seq FROM kv_log GROUP BY op")
+def log_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return so.metrics(fx.kv_log(spark, sf)).select("op", "operations", "bytes", "last_seq")

@@ -57,6 +57,39 @@ def write_snapshot(rows: DataFrame, path: str, options: Options | None = None, k
     writer.parquet(path)
 
 
+#: Bytes of a value beyond which it is kept apart. Fixed value.
+LARGE = 64 * 1024
+
+
+def split_large(rows: DataFrame, limit: int = LARGE) -> tuple[DataFrame, DataFrame]:
+    """Rows with large values left out and ``digest`` in their place, and (digest, value) of those,
+    once each. Scans of keys and small values then don't touch large ones."""
+    large = F.octet_length("value") > limit
+    digest = F.when(large, F.sha2("value", 256))
+    values = rows.where(large).select(F.sha2("value", 256).alias("digest"), "value").groupBy("digest").agg(F.first("value").alias("value"))
+    return rows.withColumn("digest", digest).withColumn("value", F.when(~large, F.col("value"))), values
+
+
+def join_large(rows: DataFrame, values: DataFrame) -> DataFrame:
+    whole = rows.join(values.withColumnRenamed("value", "_large"), "digest", "left")
+    return whole.withColumn("value", F.coalesce("value", "_large")).drop("_large", "digest")
+
+
+def truncate(log: DataFrame, snapshot: DataFrame, at: int) -> DataFrame:
+    """A snapshot's rows as a log's start, then the log after ``at``."""
+    return snapshot.unionByName(log.where(F.col("seq") > at))
+
+
+def metrics(log: DataFrame) -> DataFrame:
+    """One row for each op: operations, keys, bytes of values, and the last seq."""
+    return log.groupBy("op").agg(
+        F.count(F.lit(1)).alias("operations"),
+        F.approx_count_distinct("key").alias("keys_about"),
+        F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("bytes"),
+        F.max("seq").alias("last_seq"),
+    )
+
+
 def manifest(spark: SparkSession, path: str, level: int = 0, key: str = "key") -> DataFrame:
     """(file, level, smallest, largest, n_rows), a row for each file of a table."""
     rows = spark.read.parquet(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col(key).alias("k"))

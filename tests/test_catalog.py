@@ -8,8 +8,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
-from keyfold.operators import lists, oplog
+from keyfold.operators import cluster, lists, oplog
 from keyfold.plans import catalog
+from keyfold.sources import storage
 from keyfold.streaming import feeds
 
 SMALL = "/root/testdata/sf0.001"
@@ -80,6 +81,27 @@ def test_range_tombstones_by_prefix_equal_broadcast(spark):
     assert sorted(few) == sorted(many) and len(few) < 500
 
 
+def test_nodes(spark):
+    nodes = cluster.assign(spark, ["a", "b"])
+    moved = cluster.remove_node(cluster.add_node(nodes, "c", 8000, 9000), "b", "a")
+    assert sorted(tuple(r)[:3] for r in moved.collect()) == [("a", 0, 7999), ("a", 9001, 16383), ("c", 8000, 9000)]
+    assert cluster.mark_failed(nodes, "b").where("state = 'fail'").count() == 1
+    logs = spark.createDataFrame([("x", 2, 9), ("y", 3, 1), ("z", 3, 1)], "node string, last_term int, last_index int")
+    assert cluster.best_candidate(logs).first()["node"] == "y"
+    a = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "index int, term int")
+    b = spark.createDataFrame([(1, 1), (2, 2)], "index int, term int")
+    assert cluster.first_mismatch(a, b).first()["index"] == 2
+
+
+def test_options_and_pointer(spark, tmp_path):
+    o = storage.Options.from_json('{"path": "x", "files": 3, "unknown": 1}')
+    assert o.files == 3 and storage.Options.from_json(o.to_json()) == o
+    folder = f"file://{tmp_path}"
+    for version in (1, 2):
+        storage.replace_pointer(spark, folder, {"version": version})
+        assert storage.read_pointer(spark, folder) == {"version": version}
+
+
 def test_backlog_continues_inside_the_ring(spark):
     log = spark.createDataFrame([(i, "x" * i) for i in range(1, 11)], "seq long, value string")
     placed = feeds.offsets(log)
