@@ -6,7 +6,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,9 @@ from keyfold.llm.common import Memory, once_a_worker, text_or_empty, texts
 #: Labelled rows of each class that training takes at most, and the longest text it takes, in
 #: characters. Scoring reads all rows and whole texts.
 TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_CHARS = 3000, 6000, 20_000
-#: Bytes of a dictionary, length of the substrings that are counted for it, and how many standard
-#: errors apart their shares of texts must be.
-DICTIONARY, GRAM, APART = 4096, 5, 6.0
+#: Bytes of a dictionary, length of the substrings that are counted for it, and by how many standard
+#: errors their shares of texts must differ: training tries each and keeps the best.
+DICTIONARY, GRAM, APART = 4096, 5, (5.0, 6.0, 7.0, 8.0)
 THRESHOLD = 0.3
 #: Stands before each window and at the end of both dictionaries: what compression costs anyway.
 HEAD = b"@#~^`|{}<>=\\_$%*+/?!0123"
@@ -49,16 +49,20 @@ def _counts(sample: list[str]) -> Counter:
     return Counter(g for t in sample for g in {g for w in set(windows(t)) for g in _grams(w)})
 
 
-def _typical(own: list[str], other: list[str]) -> list[str]:
-    """Substrings of ``own`` texts whose 5-grams are significantly rarer in ``other``, most frequent first."""
+def _apart(own: list[str], other: list[str]) -> dict[str, float]:
+    """5-grams at least eight times as frequent in ``own`` texts: by how many standard errors."""
     a, b, n, m = _counts(own), _counts(other), len(own), len(other)
-    typical = set()
+    out = {}
     for g, x in a.items():
         y = b[g]
-        p = (x + y) / (n + m)
-        error = math.sqrt(p * (1 - p) * (1 / n + 1 / m))
-        if x >= 5 and x / n >= 8 * y / m and x / n - y / m >= APART * error:
-            typical.add(g)
+        if x >= 5 and x / n >= 8 * y / m:
+            p = (x + y) / (n + m)
+            out[g] = (x / n - y / m) / math.sqrt(p * (1 - p) * (1 / n + 1 / m) or 1.0)
+    return out
+
+
+def _segments(own: list[str], typical: set[str]) -> list[str]:
+    """Runs of words' typical 5-grams, those of most texts first; none within another."""
     found: Counter = Counter()
     for t in own:
         for w in set(windows(t)):
@@ -139,7 +143,8 @@ class Scorer:
 
 
 def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries from one half of the texts, the scores' calibration from the other half.
+    """Dictionaries from one half of the texts; the other half calibrates the scores and chooses
+    how far apart (APART) a dictionary's substrings must be, by the log loss.
 
     With texts of one class or none, every text scores that class's share: 1, 0, or 0 without
     labels.
@@ -147,14 +152,21 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     if not toxic or not ordinary:
         return Model(b"", b"", (30.0 if toxic else -30.0, 0.0, 0.0))
     own, other = toxic[::2], ordinary[::2]
-    bad = _packed(_typical(own, other), DICTIONARY)
     seen = Counter(w for t in other for w in set(windows(t)))
     common = [f" {w} " for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:3000]]
-    good = _packed(common, max(len(bad), 64))
-    plain = Model(bad, good, (0.0, 0.0, 0.0)).scorer()
-    x = np.concatenate([plain.features(toxic[1::2] or toxic), plain.features(ordinary[1::2] or ordinary)])
-    y = np.concatenate([np.ones(len(toxic[1::2] or toxic)), np.zeros(len(ordinary[1::2] or ordinary))])
-    return Model(bad, good, _logistic(x, y))
+    own_half, other_half = toxic[1::2] or toxic, ordinary[1::2] or ordinary
+    y = np.concatenate([np.ones(len(own_half)), np.zeros(len(other_half))])
+    apart, best = _apart(own, other), None
+    for least in APART:
+        bad = _packed(_segments(own, {g for g, z in apart.items() if z >= least}), DICTIONARY)
+        plain = Model(bad, _packed(common, max(len(bad), 64)), (0.0, 0.0, 0.0))
+        x = plain.scorer().features([*own_half, *other_half])
+        weights = _logistic(x, y)
+        p = 1 / (1 + np.exp(-np.clip(weights[0] + x @ np.array(weights[1:]), -30, 30)))
+        loss = float(-np.mean(np.log(np.where(y == 1, p, 1 - p))))
+        if best is None or loss < best[0]:
+            best = (loss, replace(plain, weights=weights))
+    return best[1]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, float, float]:
