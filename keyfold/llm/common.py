@@ -58,6 +58,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that operators have left in the shared folder, once results are stored
+    elsewhere: a result reads them until then."""
+    delete_path(spark, f"{shared_dir(spark)}/keyfold")
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -165,7 +171,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     lineage stays short and nothing is gathered on the driver but a count and a sum of hashes.
     """
     spark = edges.sparkSession
-    now = materialize(
+    now, path = stored(
         edges.where("src <> dst")
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
         .distinct(),
@@ -174,7 +180,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = materialize(
+        large, large_path = stored(
             _with_least(both)
             .where("v > u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -182,14 +188,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
             .distinct(),
             "large-star",
         )
+        delete_path(spark, path)
         least = _with_least(large)
-        now = materialize(
+        now, path = stored(
             least.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(large.groupBy("u").agg(F.min("v").alias("v")))
             .where("u <> v")
             .distinct(),
             "small-star",
         )
+        delete_path(spark, large_path)
         state = now.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))
         ).first()
