@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyfold.llm.common import free_name
+
 #: The largest mean that one inversion covers; larger means are sums of equal parts.
 PART = 16.0
 
@@ -95,11 +97,10 @@ def mix(
     counts = {r["g"]: r["count"] for r in docs.groupBy(group.alias("g")).count().collect()}
     mean = rates(counts, {**weights, rest_name: rest}, epochs)
     key = (F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    copy = "_keyfold_copy"
+    copy, order = free_name(docs, "_copy"), free_name(docs, "_order")
     out = docs.withColumn(copy, poisson_count(group, mean, seed, *key)).where(F.col(copy) > 0)
     out = out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy))))
     if shuffled:
-        order = "_keyfold_order"
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         out = out.withColumn(order, F.xxhash64(F.lit(seed), *key, F.col(copy)))
         out = out.repartition(n, order).sortWithinPartitions(F.xxhash64(order), order).drop(order)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keyfold.llm.common import connected_components, delete_path, materialize, release, stored, text_or_empty, texts
+from keyfold.llm.common import connected_components, delete_path, free_name, materialize, release, stored, text_or_empty, texts
 
 SEED = 42
 #: Distinct fingerprints of one lane that a tile takes; a fuller lane is cut into more tiles.
@@ -236,8 +236,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     they are: they can't be told apart.
     """
     found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
+    name, place = free_name(docs, "_kept"), free_name(docs, "_rank")
+    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
     rank = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    stay = docs.join(kept, docs[id_col] == F.col("_kept")).drop("_kept")
-    stay = stay.withColumn("_keyfold_rank", F.row_number().over(rank)).where("_keyfold_rank = 1").drop("_keyfold_rank")
+    stay = docs.join(kept, F.col(id_col) == F.col(name)).drop(name)
+    stay = stay.withColumn(place, F.row_number().over(rank)).where(F.col(place) == 1).drop(place)
     return stay.unionByName(docs.where(F.col(id_col).isNull()))
