@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +78,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Put this library's folder on the path of Python workers that start from now on, for drivers
+    that have it on theirs alone. Executors elsewhere need the library installed."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
