@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by tiled exact comparison."""
+"""SimHash near-duplicates by tiled exact comparison, and by SimHash candidates with exact confirmation."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keyfold.llm.common import connected_components, delete_path, free_name, materialize, release, stored, text_or_empty, texts
+from keyfold.llm.pieces import gather
 
 SEED = 42
 #: Distinct fingerprints of one lane that a tile takes; a fuller lane is cut into more tiles.
@@ -48,7 +49,11 @@ def more_hashes(h: np.ndarray, words: int) -> np.ndarray:
 
 def simhash(text: str, size: int, words: int = 1) -> np.ndarray:
     """``words`` times 64 bits; a bit is 1 if over half of the shingles' hashes have it."""
-    h = shingle_hashes(text, size)
+    return majority(shingle_hashes(text, size), words)
+
+
+def majority(h: np.ndarray, words: int) -> np.ndarray:
+    """``words`` times 64 bits; a bit is 1 if over half of the hashes have it."""
     counts = np.zeros(64 * words, np.int64)
     for at in range(0, len(h), 255):  # sums of up to 255 bits fit a byte
         bits = np.unpackbits(more_hashes(h[at : at + 255], words).view(np.uint8), axis=1, bitorder="little")
@@ -216,17 +221,154 @@ def components(
 
 #: Of the shingles' union, that two near-duplicate documents share at least.
 SIMILARITY = 0.8
+#: Shingle sets, and hashes of them all, that a tile takes; a larger group is cut into more tiles.
+TILE_SETS, TILE_HASHES = 256, 2_000_000
+
+
+def _set_prints(size: int, words: int):
+    """For each text: its fingerprint, a key of its shingle set, and the set's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, keys, sizes = [], [], []
+            for t in texts(batch.column("text")):
+                h = np.unique(shingle_hashes(t, size))
+                prints.append(majority(h, words).byteswap().tobytes())
+                keys.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                sizes.append(len(h))
+            columns = [pa.array(prints, pa.binary()), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("text_hash"), *columns], names=["id", "text_hash", "fp", "key", "n"]
+            )
+
+    return run
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, size)).tobytes() for t in texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("grp"), batch.column("key"), batch.column("tiles"), pa.array(sets, pa.binary())],
+                names=["grp", "key", "tiles", "hashes"],
+            )
+
+    return run
+
+
+def similar_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Spanning links (row, root) of the sets whose Jaccard similarity is ``least`` or more.
+
+    A set can only be similar to one that has any of its rarest hashes, a few more than it may
+    lack. Sets that are connected already are not compared again.
+    """
+    n = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    codes, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    owner = np.repeat(np.arange(n), sizes)[np.argsort(codes, kind="stable")]
+    starts = np.cumsum(often) - often
+    ends = np.cumsum(sizes)
+    root = np.arange(n)
+    for k in range(n):
+        own = codes[ends[k] - sizes[k] : ends[k]]
+        lack = sizes[k] - int(np.ceil(least * sizes[k] - 1e-9))
+        rare = own[np.argsort(often[own], kind="stable")[: lack + 1]]
+        if (root[gather(owner, starts[rare], often[rare])] == root[k]).all():
+            continue
+        both = np.bincount(gather(owner, starts[own], often[own]), minlength=n)
+        joined = np.unique(root[both / (sizes + sizes[k] - both) >= least])
+        root[np.isin(root, joined)] = joined[0]
+    return [(k, int(r)) for k, r in enumerate(root) if k != r]
+
+
+def _confirm(least: float):
+    """Rows sorted by tile to the links of each tile."""
+
+    def links(keys: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        return [(keys[k], keys[r]) for k, r in similar_links(sets, least)] if len(keys) > 1 else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+        for batch in batches:
+            found = []
+            hashes = batch.column("hashes")
+            for r, (*place, key) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("grp", "i", "j", "key")), strict=True)):
+                if place != now:
+                    found += links(list(held), list(held.values()))
+                    now, held = place, {}
+                held[key] = np.frombuffer(hashes[r].as_py(), np.uint64)
+            yield _pairs(found)
+        yield _pairs(links(list(held), list(held.values())))
+
+    def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["src", "dst"])
+
+    return run
+
+
+def confirmed_links(slim: DataFrame, groups: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (src, dst) that span, in each group, the sets of Jaccard similarity ``least`` or more.
+
+    ``groups(grp, key, n, id, text_hash)`` names for each shingle set a row of ``slim`` that has it.
+    All sets of a group are compared, in pairs of tiles as in ``link_fingerprints``.
+    """
+    full = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("hashes")).where("sets > 1")
+    tiles = F.ceil(F.greatest(F.col("sets") / TILE_SETS, F.col("hashes") / TILE_HASHES)).cast("int")
+    # coalesce() hides how the sums are dealt, so that AQE can split a large group
+    full = full.select(F.coalesce("grp", F.lit(0).cast("long")).alias("grp"), tiles.alias("tiles"))
+    wanted = materialize(groups.join(full, "grp").withColumnRenamed("id", "own_id").withColumnRenamed("text_hash", "own_hash"), "wanted")
+    found = slim.join(wanted, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
+    sets = found.select("grp", "key", "tiles", "text").mapInArrow(_sets(shingle), "grp long, key long, tiles int, hashes binary")
+    sets = sets.withColumn("t", F.pmod(F.hash("key"), F.col("tiles"))).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    sets = sets.select("grp", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "key", "hashes")
+    sets = sets.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    return materialize(sets.mapInArrow(_confirm(least), "src long, dst long").distinct(), "confirmed")
+
+
+def _near_classes(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, text_hash, fp, key, n), and for each key the first (id, text_hash) of its component.
+
+    Rows of one key have equal shingle sets. Null ids are never first.
+    """
+    text = text_or_empty(text_col)
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    prints = materialize(slim.mapInArrow(_set_prints(shingle, 4), "id long, text_hash long, fp binary, key long, n long"), "fingerprints")
+    row = F.struct("id", "text_hash")
+    classes = prints.groupBy("key").agg(
+        F.min(F.when(F.col("id").isNotNull(), row)).alias("first"), F.min(row).alias("any"), F.min("fp").alias("fp"), F.min("n").alias("n")
+    )
+    classes = materialize(classes, "classes")
+    worded = classes.where("n > 0")
+    links = link_fingerprints(worded.select("fp").distinct(), 54, sampled_lanes(256, 10))
+    node = F.xxhash64("fp")
+    near = connected_components(links.select(F.xxhash64("a").alias("src"), F.xxhash64("b").alias("dst")))
+    groups = worded.withColumn("node", node).join(near, "node", "left").select(
+        F.coalesce("root", "node").alias("grp"), "key", "n", F.col("any.id").alias("id"), F.col("any.text_hash").alias("text_hash")
+    )
+    linked = connected_components(confirmed_links(slim, materialize(groups, "groups"), shingle, SIMILARITY))
+    members = linked.join(classes.select("first", F.col("key").alias("node")), "node").select("node", "first", "root")
+    least = members.groupBy("root").agg(F.min("first").alias("least"))
+    # as in components()
+    least = least.select(F.coalesce("root", F.lit(0).cast("long")).alias("root"), "least")
+    members = members.join(least, "root").select(F.col("node").alias("key"), "least")
+    return prints, materialize(classes.join(members, "key", "left").select("key", F.coalesce("least", "first").alias("first")), "components")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) by fingerprints of 256 bits, for similarity 0.8 of five-word shingles.
+    """(id, fp, component_id): documents linked by similarity 0.8 of their five-word shingle sets.
+
+    Candidates come from fingerprints of 256 bits. Shingle sets of Jaccard similarity 0.8 have a
+    cosine of 8/9, so 38.8 of 256 bits differ on average, by 5.7 either way; a radius of 54 takes
+    in 99.6 of 100 such pairs and nearly all that are closer, while unrelated texts differ in 128
+    bits. Pairs meet if one of 25 sets of ten bits agrees: at least 0.995 of pairs at the
+    threshold, more above.
 
-    Shingle sets of Jaccard similarity 0.8 have a cosine of 8/9, so 38.8 of 256 bits differ on
-    average, by 5.7 either way; a radius of 54 takes in 99.6 of 100 such pairs and nearly all that
-    are closer, while unrelated texts differ in 128 bits. Pairs meet if one of 25 sets of ten
-    bits agrees: at least 0.995 of pairs at the threshold, more above.
+    Candidates that hang together form a group. In it the shingle sets themselves are compared,
+    all with all, and only pairs of Jaccard similarity 0.8 or more are links. Equal sets are one
+    class; so are texts without words, which link to nothing else.
     """
-    return components(docs, shingle=shingle, radius=54, words=4, lanes=sampled_lanes(256, 10), id_col=id_col, text_col=text_col)
+    prints, found = _near_classes(docs, shingle, id_col, text_col)
+    return prints.join(found, "key").select(F.col("id").alias(id_col), "fp", F.col("first.id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
