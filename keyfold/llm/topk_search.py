@@ -22,8 +22,11 @@ def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: float) ->
     Rows with a null id or vector, or with a null or non-finite component, are left out, as are
     rows with a component beyond a long after scaling.
     """
-    x = F.transform(F.col(vector_col), lambda v: F.floor(v.cast("double") * F.lit(scale)).cast("double"))
-    good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(2.0**63)))
+    # floor() makes a long, 0 of NaN, so components are tested before it
+    raw = F.transform(F.col(vector_col), lambda v: v.cast("double"))
+    finite = F.forall(raw, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    x = F.transform(raw, lambda v: F.floor(v * F.lit(scale)).cast("double"))
+    good = finite & F.forall(x, lambda v: F.abs(v) < F.lit(2.0**63))
     return (
         vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x"))
         .where(F.col("id").isNotNull() & F.col("x").isNotNull() & good)
