@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,8 +42,8 @@ def steps(texts: pa.Array) -> Iterator[pa.Array]:
         start = stop
 
 
-def cut(texts: pa.Array, lower: bool) -> Pieces:
-    """``lower`` folds the case of ASCII pieces."""
+def cut(texts: pa.Array, lower: bool, special: Sequence[str] = ()) -> Pieces:
+    """``lower`` folds the case of ASCII pieces, but of none that holds a ``special`` string in any case."""
     lists = pc.split_pattern(texts, " ")
     flat = lists.flatten().dictionary_encode()
     distinct = flat.dictionary
@@ -51,7 +51,11 @@ def cut(texts: pa.Array, lower: bool) -> Pieces:
     full_stop = pc.ends_with(distinct, ".").to_numpy(zero_copy_only=False)
     bare = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(distinct, 0, -1), distinct)
     if lower:
-        bare = pc.if_else(pc.string_is_ascii(bare), pc.ascii_lower(bare), bare)
+        folded = pc.ascii_lower(bare)
+        fold = pc.string_is_ascii(bare)
+        for s in special:
+            fold = pc.and_not(fold, pc.match_substring(folded, s.lower()))
+        bare = pc.if_else(fold, folded, bare)
     bare = bare.dictionary_encode()
     mark = np.where(marked, np.where(full_stop, 1, 2), 0)
     return Pieces(

@@ -64,6 +64,8 @@ class Encoder:
         steps = (spec.get("normalizer") or {}).get("normalizers", [])
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.tokenizer = tokenizer
+        # found in raw text, case and all
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.marks = [_bytes(ids) for ids in self.encode([".", ","])]
         self.chunked = (
             [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"]
@@ -85,7 +87,7 @@ class Encoder:
                 yield from self._pieces(some)
 
     def _pieces(self, batch: pa.Array) -> Iterator[bytes]:
-        p = cut(pc.replace_substring(batch, "\n", " "), lower=True)
+        p = cut(pc.replace_substring(batch, "\n", " "), lower=True, special=self.special)
         known = self.known.fetch(p.bare, self._bare_ids)
         flat = np.frombuffer(b"".join([*known, *self.marks]), "<u4")
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
