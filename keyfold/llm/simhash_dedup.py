@@ -372,15 +372,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, id_col: str = "doc_id"
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with one row of each near-duplicate group: that of the least id.
+    """``docs``, all columns, with one row of each near-duplicate group: that of the least id, and
+    of the least text hash among the group's own rows of that id.
 
-    Of repeated rows of that id the one of the least text hash stays. Rows of null ids stay as
-    they are: they can't be told apart.
+    Rows of one id in several groups are told apart by their texts. Rows of null ids stay as they
+    are: they can't be told apart.
     """
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col)
-    name, place = free_name(docs, "_kept"), free_name(docs, "_rank")
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
-    rank = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    stay = docs.join(kept, F.col(id_col) == F.col(name)).drop(name)
-    stay = stay.withColumn(place, F.row_number().over(rank)).where(F.col(place) == 1).drop(place)
+    _, found = _near_classes(docs.where(F.col(id_col).isNotNull()), 5, id_col, text_col)
+    name, own, place = free_name(docs, "_kept"), free_name(docs, "_text_hash"), free_name(docs, "_rank")
+    kept = found.select(F.col("first.id").alias(name), F.col("first.text_hash").alias(own)).distinct()
+    text_hash = F.xxhash64(text_or_empty(text_col))
+    rank = Window.partitionBy(name, own).orderBy(F.xxhash64(text_col))
+    stay = docs.join(kept, (F.col(id_col).cast("long") == F.col(name)) & (text_hash == F.col(own)))
+    stay = stay.withColumn(place, F.row_number().over(rank)).where(F.col(place) == 1).drop(name, own, place)
     return stay.unionByName(docs.where(F.col(id_col).isNull()))
