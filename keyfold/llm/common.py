@@ -66,6 +66,30 @@ def clear(spark: SparkSession) -> None:
     delete_path(spark, f"{shared_dir(spark)}/keyfold")
 
 
+class Scratch:
+    """Tables in the shared folder that go when the block ends: ``keep(df, name)`` writes one and
+    reads it back, ``own(df)`` takes over those that ``df`` reads."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        df, path = stored(df, name)
+        self.paths.append(path)
+        return df
+
+    def own(self, df: DataFrame) -> DataFrame:
+        self.paths += {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        return df
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            delete_path(self.spark, path)
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

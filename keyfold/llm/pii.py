@@ -82,7 +82,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     columns are not looked at.
     """
     rows = docs.select(id_col, text_or_empty(text_col).alias("_text"))
-    found = [tagged(_proposed(F.col("_text"), k), k.name, i) for i, k in enumerate(KINDS)]
+    found = [tagged(_proposed(F.col("_text"), k), F.lit(k.name), F.lit(i)) for i, k in enumerate(KINDS)]
     rows = rows.select(id_col, "_text", F.array_sort(F.concat(*found)).alias("_found"))
     return rows.select(
         id_col,

@@ -15,11 +15,7 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _literal(pattern: str) -> Column:
-    return F.lit(pattern)
-
-
-def find_spans(text: Column, pattern: str) -> Column:
+def find_spans(text: Column, pattern: str | Column) -> Column:
     """array<struct<start,end,text>>: leftmost non-overlapping matches, none of them empty.
 
     Positions are code points, the end exclusive. A text is cut at the matches; the lengths of
@@ -27,6 +23,8 @@ def find_spans(text: Column, pattern: str) -> Column:
     then over chunks.
     """
 
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+
     def positions(found: Column) -> Column:
         gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
         sized = F.transform(found, lambda m, i: F.struct(i.alias("i"), m.alias("m"), F.char_length(m).alias("n")))
@@ -37,8 +35,8 @@ def find_spans(text: Column, pattern: str) -> Column:
         return let(steps, _summed)
 
     return F.when(
-        F.regexp_like(text, _literal(pattern)),
-        let(F.regexp_extract_all(text, _literal(pattern), F.lit(0)), positions),
+        F.regexp_like(text, pattern),
+        let(F.regexp_extract_all(text, pattern, F.lit(0)), positions),
     ).otherwise(F.lit(None).cast(f"array<{SPAN}>"))
 
 
@@ -73,13 +71,13 @@ def _in_chunk(steps: Column, base: Column) -> Column:
     return F.aggregate(steps, start, step, lambda a: a.out)
 
 
-def tagged(spans: Column, kind: str, order: int) -> Column:
+def tagged(spans: Column, kind: Column, order: Column) -> Column:
     """Spans with their kind and its place in the list of kinds, never null."""
     return F.coalesce(
         F.transform(
             spans,
             lambda s: F.struct(
-                s.start.alias("start"), F.lit(order).alias("place"), F.lit(kind).alias("kind"), s.end.alias("end"), s.text.alias("text")
+                s.start.alias("start"), order.cast("int").alias("place"), kind.alias("kind"), s.end.alias("end"), s.text.alias("text")
             ),
         ),
         F.array().cast("array<struct<start:int,place:int,kind:string,end:int,text:string>>"),
