@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyfold.operators.oplog import additions, latest, part_sums
+
 
 def hset(log: DataFrame) -> DataFrame:
-    """(seq, key, reply): fields that each write adds; log rows are (seq, pos, key, field, value)."""
-    first = Window.partitionBy("key", "field").orderBy("seq", "pos")
-    new = (F.row_number().over(first) == 1).cast("long")
-    return log.withColumn("_new", new).groupBy("seq", "key").agg(F.sum("_new").alias("reply"))
+    """(seq, key, reply): fields that each write adds; log rows are (seq, pos, key, field), with ``op``
+    if fields (REM) or keys (DEL) are deleted in between."""
+    return additions(log, "field").groupBy("seq", "key").agg(F.sum("new").alias("reply"))
 
 
 def hset_if_missing(log: DataFrame) -> DataFrame:
-    """Writes that set their field, the first of each; later ones reply 0."""
-    first = Window.partitionBy("key", "field").orderBy("seq", "pos")
-    return log.withColumn("reply", (F.row_number().over(first) == 1).cast("long"))
+    """Writes with ``reply``: 1 for those that set their field, 0 where it was there."""
+    return additions(log, "field").withColumnRenamed("new", "reply")
+
+
+def hmset(log: DataFrame) -> DataFrame:
+    """(key, field, value) after writes and deletions of fields (REM) and keys (DEL); the log has (seq,
+    pos) or seq."""
+    order = [c for c in ("seq", "pos") if c in log.columns]
+    gone = log.where("op = 'DEL'").groupBy("key").agg(F.max(F.struct(*order)).alias("_gone"))
+    rows = log.where("op <> 'DEL'").join(gone, "key", "left").where(F.col("_gone").isNull() | (F.struct(*order) > F.col("_gone")))
+    return latest(rows, ("key", "field"), order).where("op = 'PUT'").select("key", "field", "value")
 
 
 def hgetall(rows: DataFrame) -> DataFrame:
@@ -43,9 +52,8 @@ def hexists(rows: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def hincrby(log: DataFrame, delta: Column) -> DataFrame:
-    """Log rows (seq, key, field) with the field's value after each."""
-    so_far = Window.partitionBy("key", "field").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return log.withColumn("reply", F.sum(delta).over(so_far))
+    """Log rows (seq, key, field) with the field's value after each; deletions as in ``hset``."""
+    return part_sums(log, "field", delta)
 
 
 def hscan(rows: DataFrame, key: str, after: str | None, count: int) -> DataFrame:

@@ -56,6 +56,13 @@ def remaining(now: Column, expire_at: Column, unit_ms: int = 1000) -> Column:
     return F.when(expire_at > now, left).otherwise(F.lit(-2).cast("long"))
 
 
+def expire(requests: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
+    """requests (key, ms) with ``reply``, 1 where the key is there, and then its new ``expire_at``."""
+    there = rows.select("key", F.lit(1).alias("reply")).distinct()
+    found = requests.join(there, "key", "left").withColumn("reply", F.coalesce("reply", F.lit(0)))
+    return found.withColumn("expire_at", F.when(F.col("reply") == 1, now + F.col("ms"))).drop("ms")
+
+
 def live(rows: DataFrame, ttl: DataFrame, now: Column) -> DataFrame:
     """Rows whose key has not expired; ``ttl`` is (key, expire_at)."""
     gone = ttl.where(F.col("expire_at") <= now).select("key")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyfold.operators.oplog import additions
+
 
 def sadd(log: DataFrame) -> DataFrame:
-    """Log rows (seq, key, member) with ``reply``: 1 where the member is new."""
-    first = Window.partitionBy("key", "member").orderBy("seq")
-    return log.withColumn("reply", (F.row_number().over(first) == 1).cast("int"))
+    """Log rows (seq, key, member) with ``reply``: 1 where the member was not there. With ``op``,
+    members (REM) or keys (DEL) may be deleted in between."""
+    return additions(log, "member").withColumn("reply", F.col("new").cast("int")).drop("new")
 
 
 def smembers(rows: DataFrame) -> DataFrame:

@@ -31,6 +31,13 @@ def float_text(x: Column) -> Column:
     return F.format_string("%.6f", x.cast("double"))
 
 
+def incrbyfloat(log: DataFrame, delta: Column) -> DataFrame:
+    """The log's PUT rows with ``reply``, the float counter's text after each."""
+    rows = epochs(log)
+    total = running(rows, F.when(F.col("op") == "DEL", F.lit(0.0)).otherwise(delta))
+    return rows.withColumn("reply", float_text(total)).where("op <> 'DEL'")
+
+
 def getset(log: DataFrame) -> DataFrame:
     """PUT rows with ``old``, the value before; null where the key was missing."""
     w = Window.partitionBy("key").orderBy("seq")
@@ -38,6 +45,26 @@ def getset(log: DataFrame) -> DataFrame:
     return log.withColumn("_last", last).withColumn("old", F.when(F.col("_last.op") != "DEL", F.col("_last.value"))).drop("_last").where("op <> 'DEL'")
 
 
+def getdel(log: DataFrame) -> DataFrame:
+    """DEL rows with ``old``, the value that each takes away; null where the key was missing."""
+    last = F.lag(F.struct("op", "value")).over(Window.partitionBy("key").orderBy("seq"))
+    rows = log.withColumn("_last", last).where("op = 'DEL'")
+    return rows.withColumn("old", F.when(F.col("_last.op") != "DEL", F.col("_last.value"))).drop("_last")
+
+
+def setex(log: DataFrame, now: Column) -> DataFrame:
+    """Live rows of a log whose PUTs carry ``expire_at`` (ms), null for none: each sets value and
+    expiry together, so the newest row of a key alone says whether it is there."""
+    return fold(log).where(F.col("expire_at").isNull() | (F.col("expire_at") > now))
+
+
+def setrange(value: Column, offset: int, new: bytes) -> Column:
+    """Bytes with those from ``offset`` on overwritten; zeros fill a gap before it."""
+    b = F.coalesce(value.cast("binary"), F.lit(b""))
+    wide = F.call_function("rpad", b, F.greatest(F.octet_length(b), F.lit(offset + len(new))), F.lit(b"\0"))
+    return F.when(F.lit(len(new) == 0), b).otherwise(F.overlay(wide, F.lit(new), F.lit(offset + 1), F.lit(len(new))))
+
+
 def setnx(log: DataFrame) -> DataFrame:
     """PUT rows with ``reply``: 1 for the first in an epoch, which sets the value, else 0."""
     w = Window.partitionBy("key", "epoch").orderBy("seq")

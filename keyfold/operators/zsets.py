@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyfold.functions.bytes import clamp
+from keyfold.operators.oplog import additions, part_sums
 
 
 def order(reverse: bool = False) -> list[Column]:
@@ -18,14 +19,14 @@ def zadd(log: DataFrame) -> DataFrame:
 
 
 def zadd_replies(log: DataFrame) -> DataFrame:
-    """Log rows with ``reply``: 1 where the member is new."""
-    first = Window.partitionBy("key", "member").orderBy("seq", "pos")
-    return log.withColumn("reply", (F.row_number().over(first) == 1).cast("int"))
+    """Log rows with ``reply``: 1 where the member was not there. With ``op``, members (REM) or keys
+    (DEL) may be deleted in between."""
+    return additions(log, "member").withColumn("reply", F.col("new").cast("int")).drop("new")
 
 
 def zincrby(log: DataFrame, delta: Column) -> DataFrame:
-    so_far = Window.partitionBy("key", "member").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return log.withColumn("reply", F.sum(delta).over(so_far))
+    """Log rows with the member's score after each; deletions as in ``zadd_replies``."""
+    return part_sums(log, "member", delta)
 
 
 def zrank(rows: DataFrame, reverse: bool = False) -> DataFrame:

@@ -15,17 +15,17 @@ from keyfold.sources.fixtures import NOW_MS
 
 @query("SELECT key, value FROM strings WHERE starts_with(key, 'order:1') ORDER BY key LIMIT 100")
 def prefix_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return ks.prefix_scan(fx.strings(spark, sf), "order:1", 100)
+    return ks.prefix_scan(fx.stored_strings(spark, sf), "order:1", 100)
 
 
 @query("SELECT key, value FROM strings WHERE key >= 'order:9'")
 def iterator_seek(spark: SparkSession, sf: str) -> DataFrame:
-    return ks.seek(fx.strings(spark, sf), "order:9")
+    return ks.seek(fx.stored_strings(spark, sf), "order:9")
 
 
 @query("SELECT key, value FROM strings WHERE key > (SELECT max(key) FROM (SELECT key FROM strings ORDER BY key LIMIT 100)) ORDER BY key LIMIT 50")
 def scan_page(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fx.strings(spark, sf)
+    rows = fx.stored_strings(spark, sf)
     after = None
     for _ in range(2):
         after = ks.scan_page(rows, after, 50).agg(F.max("key")).first()[0]
@@ -130,9 +130,9 @@ def renamenx_move(spark: SparkSession, sf: str) -> DataFrame:
     return ks.rename(fx.strings(spark, sf), moves, new_only=True).select("key", "value")
 
 
-@query("""SELECT doc_id, strlen(text)::BIGINT AS size, hex(encode(text)[1:8]) AS head, hex(encode(text)[-4:]) AS tail FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT doc_id, strlen(text)::BIGINT AS size, hex(encode(text)[1:8]) AS head, hex(encode(text)[-4:]) AS tail FROM documents""".replace("strlen(text)::BIGINT", "coalesce(strlen(text), 0)::BIGINT"))
 def getrange_strlen(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL")
+    d = spark.read.parquet(f"{sf}/documents.parquet")
     return d.select("doc_id", st.strlen(F.col("text")).alias("size"), F.hex(st.getrange(F.col("text"), 0, 7)).alias("head"), F.hex(st.getrange(F.col("text"), -4, -1)).alias("tail"))
 
 
@@ -140,3 +140,44 @@ def getrange_strlen(spark: SparkSession, sf: str) -> DataFrame:
 def mset_last(spark: SparkSession, sf: str) -> DataFrame:
     log = fx.kv_log(spark, sf).select(F.floor(F.col("seq") / 5).alias("seq"), (F.col("seq") % 5).alias("pos"), "key", F.lit("PUT").alias("op"), "value")
     return st.set_last(log).select("key", "value")
+
+
+@query(f"""SELECT r.key, CASE WHEN l.key IS NULL THEN 0 ELSE 1 END AS reply, CASE WHEN l.key IS NOT NULL THEN {NOW_MS} + r.ms END AS expire_at
+FROM (SELECT 'user:' || range AS key, range * 1000 AS ms FROM range(400)) r LEFT JOIN ({_LIVE}) l ON r.key = l.key""")
+def expire_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """EXPIRE on live and missing keys."""
+    requests = spark.range(400).select(F.concat(F.lit("user:"), F.col("id").cast("string")).alias("key"), (F.col("id") * 1000).alias("ms"))
+    return ks.expire(requests, oplog.fold_max_by(fx.kv_log(spark, sf), ["value"]), F.lit(NOW_MS))
+
+
+@query(f"""SELECT key, value FROM (SELECT *, epoch_us(ts) // 1000 + floor(amount * 60000)::BIGINT AS expire_at FROM kv_log
+QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE op <> 'DEL' AND expire_at > {NOW_MS - 3_600_000}""")
+def setex_state(spark: SparkSession, sf: str) -> DataFrame:
+    """SETEX: values and expiries set together."""
+    at = F.unix_millis(F.col("ts").cast("timestamp")) + F.floor(F.col("amount") * 60000).cast("long")
+    return st.setex(fx.kv_log(spark, sf).withColumn("expire_at", at), F.lit(NOW_MS - 3_600_000)).select("key", "value")
+
+
+@query("""SELECT key, seq, CASE WHEN last_op <> 'DEL' THEN last_value END AS old FROM
+(SELECT *, lag(op) OVER w AS last_op, lag(value) OVER w AS last_value FROM kv_log WINDOW w AS (PARTITION BY key ORDER BY seq)) WHERE op = 'DEL'""")
+def getdel_reply(spark: SparkSession, sf: str) -> DataFrame:
+    return st.getdel(fx.kv_log(spark, sf)).select("key", "seq", "old")
+
+
+@query("""SELECT key, hex(encode(substr(value, 1, 2))) || '58595A' || hex(encode(substr(value, 6))) AS inside,
+hex(encode(substr(value, 1, 12))) || repeat('00', (12 - least(12, length(value)))::INTEGER) || '58595A' || hex(encode(substr(value, 16))) AS beyond FROM strings""")
+def setrange_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("value")
+    return fx.strings(spark, sf).select("key", F.hex(st.setrange(v, 2, b"XYZ")).alias("inside"), F.hex(st.setrange(v, 12, b"XYZ")).alias("beyond"))
+
+
+@query("SELECT key, value FROM strings WHERE starts_with(key, 'order:2')")
+def snapshot_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A prefix scan of a stored snapshot: its sorted runs are read where the prefix can be."""
+    return fx.stored_strings(spark, sf).where(F.col("key").startswith("order:2"))
+
+
+@query("SELECT key, value FROM strings WHERE key IN ('order:777', 'order:777x', 'order:1234')")
+def bloom_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Point reads of a stored snapshot: statistics and bloom filters of keys skip what can't hold them."""
+    return fx.stored_strings(spark, sf).where(F.col("key").isin("order:777", "order:777x", "order:1234"))

@@ -40,6 +40,20 @@ def range_tombstone(spark: SparkSession, sf: str) -> DataFrame:
     return oplog.fold(fx.kv_log(spark, sf), tombstones=t).select("key", "seq", "value")
 
 
+_MANY = """SELECT 'user:' || (user_id - event_id % 7) AS begin_key, 'user:' || (user_id + event_id % 5) AS end_key, event_id + event_id % 11 * 40 AS seq
+FROM events WHERE event_id % 10 = 3"""
+
+
+@query(f"""WITH t AS ({_MANY}) SELECT key, seq, value FROM ({_LAST}) l WHERE op <> 'DEL'
+  AND NOT EXISTS (SELECT 1 FROM t WHERE begin_key < end_key AND l.key >= begin_key AND l.key < end_key AND t.seq > l.seq)""")
+def range_tombstones_many(spark: SparkSession, sf: str) -> DataFrame:
+    """As many range deletions as a tenth of the log, of any width, one over another."""
+    e = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 10 = 3")
+    name = lambda x: F.concat(F.lit("user:"), F.expr(x).cast("string"))
+    t = e.select(name("user_id - event_id % 7").alias("begin_key"), name("user_id + event_id % 5").alias("end_key"), F.expr("event_id + event_id % 11 * 40").alias("seq"))
+    return oplog.fold(fx.kv_log(spark, sf), tombstones=t).select("key", "seq", "value")
+
+
 @query("SELECT seq // 10 AS batch, seq, key FROM kv_log WHERE seq % 97 <> 13 QUALIFY count(*) OVER (PARTITION BY seq // 10) = 10")
 def batch_commit(spark: SparkSession, sf: str) -> DataFrame:
     log = fx.kv_log(spark, sf).where("seq % 97 <> 13")
@@ -80,10 +94,10 @@ def merge_runs(spark: SparkSession, sf: str) -> DataFrame:
     return oplog.merge_runs(runs).select("key", "seq", "value")
 
 
-@query("""SELECT o.o_orderkey AS orderkey, arg_max(e.value, e.seq) AS value FROM (SELECT * FROM orders WHERE o_orderkey % 50 = 0) o
-JOIN kv_log e ON e.user_id = o.o_orderkey % 100 AND e.seq <= o.o_orderkey GROUP BY o.o_orderkey""")
+@query("""SELECT o.o_orderkey AS orderkey, e.value FROM (SELECT *, o_orderkey % 100 AS user_id FROM orders) o
+ASOF JOIN kv_log e ON e.user_id = o.user_id AND e.seq <= o.o_orderkey""")
 def asof_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 50 = 0").select("o_orderkey", (F.col("o_orderkey") % 100).alias("user_id"))
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") % 100).alias("user_id"))
     found = as_of(o, fx.kv_log(spark, sf).select("user_id", "seq", "value"), ["user_id"], "o_orderkey", "seq", ["value"])
     return found.where("value IS NOT NULL").select(F.col("o_orderkey").alias("orderkey"), "value")
 
@@ -120,10 +134,11 @@ def append_value(spark: SparkSession, sf: str) -> DataFrame:
     return st.appended(fx.kv_log(spark, sf))
 
 
-@query("SELECT key, arg_max(amount, seq) AS amount, printf('%.6f', arg_max(amount, seq)) AS text FROM kv_log GROUP BY key")
+@query(f"""SELECT key, seq, printf('%.6f', reply / 4.0::DOUBLE) AS text FROM (SELECT *, (sum(CASE WHEN op = 'DEL' THEN 0 ELSE round(amount * 4)::BIGINT END) OVER ({_SO_FAR}))::BIGINT AS reply
+FROM ({_EPOCHS})) WHERE op <> 'DEL'""")
 def incrbyfloat_text(spark: SparkSession, sf: str) -> DataFrame:
-    last = fx.kv_log(spark, sf).groupBy("key").agg(F.max_by("amount", "seq").alias("amount"))
-    return last.withColumn("text", st.float_text(F.col("amount")))
+    """Running sums of fractions, as text; quarters add up exactly whatever the order of sums."""
+    return st.incrbyfloat(fx.kv_log(spark, sf), F.round(F.col("amount") * 4) / 4).select("key", "seq", F.col("reply").alias("text"))
 
 
 @query("""SELECT count(*) FILTER (op = 'PUT') AS n_put, count(*) FILTER (op = 'DEL') AS n_del, count(*) AS n_all FROM kv_log""")

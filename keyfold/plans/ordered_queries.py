@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfold.functions import bytes as B
+from keyfold.functions import geo as G
 from keyfold.functions.slots import key_slot
 from keyfold.operators import bitmaps as bm
 from keyfold.operators import cluster as cl
@@ -16,6 +17,7 @@ from keyfold.operators import zsets as zs
 from keyfold.operators.strings import float_text
 from keyfold.plans.rank import global_rank
 from keyfold.plans.registry import query
+from keyfold.plans.typed_queries import added_sql, sums_sql
 from keyfold.sources import fixtures as fx
 
 
@@ -63,9 +65,9 @@ def zadd_update(spark: SparkSession, sf: str) -> DataFrame:
     return zs.zadd(log)
 
 
-@query("SELECT seq, CASE WHEN row_number() OVER (PARTITION BY value, key ORDER BY seq) = 1 THEN 1 ELSE 0 END AS reply FROM kv_log")
+@query(f"SELECT seq, new AS reply FROM ({added_sql('SELECT *, part AS member FROM part_log', 'member', 'seq')})")
 def zadd_new(spark: SparkSession, sf: str) -> DataFrame:
-    log = fx.kv_log(spark, sf).select("seq", F.lit(0).alias("pos"), F.col("value").alias("key"), F.col("key").alias("member"))
+    log = fx.part_log(spark, sf).withColumn("pos", F.lit(0)).withColumnRenamed("part", "member")
     return zs.zadd_replies(log).select("seq", "reply")
 
 
@@ -75,9 +77,9 @@ def zrem_card(spark: SparkSession, sf: str) -> DataFrame:
     return zs.zcard(zs.zrem(rows, rows.where("score < 0").select("key", "member")))
 
 
-@query("""SELECT value AS key, key AS member, seq, (sum(round(amount * 100)::BIGINT) OVER (PARTITION BY value, key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS reply FROM kv_log""")
+@query(f"SELECT key, member, seq, reply FROM ({sums_sql('SELECT *, part AS member FROM part_log', 'member', 'round(amount * 100)::BIGINT')})")
 def zincrby(spark: SparkSession, sf: str) -> DataFrame:
-    log = fx.kv_log(spark, sf).select("seq", F.col("value").alias("key"), F.col("key").alias("member"), "amount")
+    log = fx.part_log(spark, sf).withColumnRenamed("part", "member")
     return zs.zincrby(log, F.round(F.col("amount") * 100).cast("long")).select("key", "member", "seq", "reply")
 
 
@@ -189,6 +191,16 @@ def geopos_center(spark: SparkSession, sf: str) -> DataFrame:
     return gx.geopos(gx.geoadd(fx.places(spark, sf))).select("member", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
+_TEXT = f"""SELECT member, CAST(list_sum(list_transform(range(26), lambda i: (((x >> i::BIGINT) & 1) << (2 * i + 1)) + (((y >> i::BIGINT) & 1) << (2 * i)))) AS BIGINT) AS c FROM
+(SELECT member, CAST(floor((lon + 180.0::DOUBLE) / 360.0::DOUBLE * 67108864) AS BIGINT) AS x, CAST(floor((lat + 90.0::DOUBLE) / 180.0::DOUBLE * 67108864) AS BIGINT) AS y FROM ({_CENTRES}))"""
+
+
+@query(f"""SELECT member, {" || ".join(f"substr('0123456789bcdefghjkmnpqrstuvwxyz', ((c >> {47 - 5 * i}) & 31)::INTEGER + 1, 1)" for i in range(10))} || '0' AS hash FROM ({_TEXT})""")
+def geohash_text(spark: SparkSession, sf: str) -> DataFrame:
+    at = gx.geopos(gx.geoadd(fx.places(spark, sf)))
+    return at.select("member", G.geohash(F.col("lon"), F.col("lat")).alias("hash"))
+
+
 def _haversine(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     return f"""(CASE WHEN {lat1} IS NOT NULL AND {lat2} IS NOT NULL THEN 2 * 6372797.5::DOUBLE * asin(least(1.0::DOUBLE, sqrt(sin((radians({lat2}) - radians({lat1})) / 2) * sin((radians({lat2}) - radians({lat1})) / 2)
 + cos(radians({lat1})) * cos(radians({lat2})) * sin((radians({lon2}) - radians({lon1})) / 2) * sin((radians({lon2}) - radians({lon1})) / 2)))) END)"""
@@ -245,6 +257,14 @@ def countkeysinslot(spark: SparkSession, sf: str) -> DataFrame:
     return cl.count_keys_in_slot(fx.kv_log(spark, sf).select("key").distinct())
 
 
+@query(f"SELECT key FROM ({_SLOTS}) WHERE slot BETWEEN 8000 AND 8999 QUALIFY row_number() OVER (ORDER BY slot, key) <= 1")
+def getkeysinslot(spark: SparkSession, sf: str) -> DataFrame:
+    """The keys of one slot: the first of a thousand that has any."""
+    keys = fx.kv_log(spark, sf).select("key").distinct()
+    slot = cl.with_slot(keys).where("slot BETWEEN 8000 AND 8999").agg(F.min("slot")).first()[0]
+    return cl.keys_in_slot(keys, -1 if slot is None else slot, 1)
+
+
 @query("SELECT key, value FROM strings WHERE key IN (SELECT 'order:' || l_orderkey FROM lineitem WHERE l_quantity > 49)")
 def bloom_prune(spark: SparkSession, sf: str) -> DataFrame:
     """A semi-join; on large tables Spark puts a runtime bloom filter on the scan."""
@@ -252,6 +272,9 @@ def bloom_prune(spark: SparkSession, sf: str) -> DataFrame:
     return fx.strings(spark, sf).join(wanted, "key", "left_semi")
 
 
-@query("SELECT 3 AS commit_index")
+@query("""WITH m AS (SELECT user_id AS node, max(event_id) AS match_index FROM events GROUP BY user_id)
+SELECT match_index AS commit_index FROM (SELECT match_index, row_number() OVER (ORDER BY match_index DESC) AS nth, count(*) OVER () AS n FROM m) WHERE nth = n // 2 + 1""")
 def raft_commit_index(spark: SparkSession, sf: str) -> DataFrame:
-    return cl.commit_index(spark.createDataFrame([("a", 5), ("b", 3), ("c", 1)], "node string, match_index int"))
+    """Users as nodes that have acknowledged the log up to their last event."""
+    acked = fx.kv_log(spark, sf).groupBy(F.col("user_id").alias("node")).agg(F.max("seq").alias("match_index"))
+    return cl.commit_index(acked)

@@ -1,4 +1,4 @@
-"""Ranks over a whole table without one task that sorts it."""
+"""Ranks and nearest marks over a whole table without one task that sorts it."""
 
 from __future__ import annotations
 
@@ -26,3 +26,28 @@ def global_rank(rows: DataFrame, order: list[Column], partitions: int | None = N
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     ranked = dealt.withColumn("_within", within).join(F.broadcast(starts), "_part")
     return ranked.withColumn("rank", F.col("_start") + F.col("_within")).drop("_part", "_start", "_within")
+
+
+def last_before(rows: DataFrame, marks: DataFrame, key: str, mark_key: str, value: str, partitions: int | None = None) -> DataFrame:
+    """``rows`` with ``value`` of the last of ``marks`` at or before their key; null before the first.
+
+    Keys of ``marks`` are distinct. Both are dealt by ranges of the key and written once. Each range
+    carries its marks forward, and begins with the last mark of the ranges before it: one row a
+    partition, so their broadcast is bounded. Rows without a key get null.
+    """
+    spark = rows.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    a = rows.select(F.col(key).alias("_key"), F.lit(1).alias("_side"), F.struct(*rows.columns).alias("_row"), F.lit(None).alias("_mark"))
+    b = marks.select(F.col(mark_key).alias("_key"), F.lit(0).alias("_side"), F.lit(None).alias("_row"), F.struct(value).alias("_mark"))
+    path = new_folder(spark, "marked")
+    dealt = a.union(b).repartitionByRange(n, "_key").withColumn("_part", F.spark_partition_id())
+    dealt.write.parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+    lasts = dealt.where("_side = 0").groupBy("_part").agg(F.max_by("_mark", "_key").alias("_last"))
+    parts = spark.range(n).select(F.col("id").cast("int").alias("_part")).join(lasts, "_part", "left")
+    before = F.last("_last", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select("_part", before.alias("_before"))
+    so_far = Window.partitionBy("_part").orderBy(F.col("_key").asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = dealt.withColumn("_found", F.last("_mark", ignorenulls=True).over(so_far)).where("_side = 1").join(F.broadcast(starts), "_part", "left")
+    there = F.when(F.col("_key").isNotNull(), F.coalesce("_found", "_before"))
+    return found.select("_row.*", there[value].alias(value))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyfold.operators.oplog import fold
@@ -32,15 +32,20 @@ def manifest_levels(spark: SparkSession, sf: str) -> DataFrame:
     path = new_folder(spark, "runs")
     so.write_snapshot(fx.strings(spark, sf), path, so.Options(files=4))
     files = so.manifest(spark, path)
-    pairs = files.alias("a").join(files.alias("b"), F.col("a.file") < F.col("b.file"))
-    overlap = pairs.where("a.smallest <= b.largest AND b.smallest <= a.largest").count()
+    before = F.max("largest").over(Window.orderBy("smallest", "largest").rowsBetween(Window.unboundedPreceding, -1))
+    overlap = files.withColumn("before", before).where("before >= smallest").count()
     return files.agg(F.sum("n_rows").alias("n_rows"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest")).withColumn("disjoint", F.lit(overlap == 0))
 
 
-@query("SELECT * FROM (VALUES (0, 1.5::DOUBLE), (2, 1.2::DOUBLE)) t(level, score)")
+@query("""WITH f AS (SELECT level, file, count(*) AS n_rows FROM (SELECT key, seq, least(2, seq // 1000 // 3)::INTEGER AS level, seq // 500 AS file FROM kv_log) GROUP BY level, file),
+p AS (SELECT level, count(*) AS n, sum(n_rows)::BIGINT AS rows FROM f GROUP BY level)
+SELECT level, score FROM (SELECT level, CASE WHEN level = 0 THEN n / 4.0::DOUBLE ELSE rows / (20.0::DOUBLE * pow(10.0::DOUBLE, level)) END AS score FROM p) WHERE score >= 1""")
 def pick_compaction(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(0, 10)] * 6 + [(1, 900)] + [(2, 12000)]
-    return so.pick_compaction(spark.createDataFrame(rows, "level int, n_rows long"), 100)
+    """Levels that are due, from files that runs of the log are written to."""
+    level = F.least(F.lit(2), F.floor(F.floor(F.col("seq") / 1000) / 3)).cast("int")
+    runs = fx.kv_log(spark, sf).select("key", "seq", level.alias("level"), F.floor(F.col("seq") / 500).alias("file"))
+    files = runs.groupBy("level", "file").agg(F.count(F.lit(1)).alias("n_rows"))
+    return so.pick_compaction(files, 20)
 
 
 @query("SELECT key, value FROM (SELECT * FROM kv_log QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE op <> 'DEL'")
@@ -52,10 +57,10 @@ def fold_of_compacted(spark: SparkSession, sf: str) -> DataFrame:
     return fold(spark.read.parquet(path).unionByName(rest)).select("key", "value")
 
 
-@query("SELECT doc_id AS key, strlen(text)::BIGINT AS size, md5(text) AS hash FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id AS key, strlen(text)::BIGINT AS size, md5(text) AS hash FROM documents")
 def large_values(spark: SparkSession, sf: str) -> DataFrame:
     """Values over a limit are kept apart and joined back whole."""
-    rows = spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL").select(F.col("doc_id").alias("key"), F.col("text").alias("value"))
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("key"), F.col("text").alias("value"))
     small, values = so.split_large(rows, 4000)
     return so.join_large(small, values).select("key", F.octet_length("value").cast("long").alias("size"), F.md5("value").alias("hash"))
 

@@ -42,17 +42,17 @@ def repl_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT s.subscriber, 'channel:' || value AS channel, seq AS message FROM kv_log JOIN
-(VALUES ('a', 'click'), ('b', 'click'), ('b', 'view')) s(subscriber, name) ON kv_log.value = s.name WHERE seq % 10 = 0""")
+(VALUES ('a', 'click'), ('b', 'click'), ('b', 'view')) s(subscriber, name) ON kv_log.value = s.name""")
 def publish_channels(spark: SparkSession, sf: str) -> DataFrame:
     channel = lambda c: F.concat(F.lit("channel:"), c)
-    messages = fx.kv_log(spark, sf).where("seq % 10 = 0").select(channel(F.col("value")).alias("channel"), F.col("seq").alias("message"))
+    messages = fx.kv_log(spark, sf).select(channel(F.col("value")).alias("channel"), F.col("seq").alias("message"))
     subs = spark.createDataFrame([("a", "click"), ("b", "click"), ("b", "view")], "subscriber string, name string")
     return feeds.publish(messages, subs.select("subscriber", channel(F.col("name")).alias("channel"))).select("subscriber", "channel", "message")
 
 
 @query("SELECT key, max(seq) AS seq, arg_max(value, seq) AS value FROM kv_log GROUP BY key HAVING arg_max(op, seq) <> 'DEL'")
 def stream_fold(spark: SparkSession, sf: str) -> DataFrame:
-    folded = feeds.run_once(feeds.folded_stream(_stream(spark, sf)), "complete")
+    folded = feeds.latest_of_updates(feeds.run_once(feeds.folded_stream(_stream(spark, sf)), "update"), ["key"])
     return folded.where("op <> 'DEL'").select("key", "seq", "value")
 
 
@@ -66,5 +66,5 @@ def stream_ttl_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT key, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, count(*) AS n FROM kv_log GROUP BY ALL")
 def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
-    found = feeds.run_once(feeds.windows(_stream(spark, sf), "1 day", late=_LATE), "complete")
+    found = feeds.latest_of_updates(feeds.run_once(feeds.windows(_stream(spark, sf), "1 day", late=_LATE), "update"), ["key", "start"])
     return found.select("key", F.unix_micros("start").alias("start_us"), "n")

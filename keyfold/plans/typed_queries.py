@@ -14,19 +14,40 @@ from keyfold.sources import fixtures as fx
 
 def _hash_log(spark: SparkSession, sf: str) -> DataFrame:
     """Writes of several fields: five events share a write."""
-    log = fx.kv_log(spark, sf)
-    return log.select(F.floor(F.col("seq") / 5).alias("seq"), (F.col("seq") % 5).alias("pos"), "key", F.col("value").alias("field"), F.col("amount").alias("value"))
+    return fx.part_log(spark, sf).select(F.floor(F.col("seq") / 5).alias("seq"), (F.col("seq") % 5).alias("pos"), "op", "key", F.col("part").alias("field"))
 
 
-_HASH_LOG = "SELECT seq // 5 AS seq, seq % 5 AS pos, key, value AS field FROM kv_log"
+def added_sql(log: str, part: str, order: str) -> str:
+    """Rows of a log that put a part, with ``new``: whether the last operation on it since the key's
+    last deletion was not a put."""
+    return f"""SELECT *, CASE WHEN coalesce(last_op, 'REM') = 'PUT' THEN 0 ELSE 1 END AS new FROM (SELECT *, lag(op) OVER (PARTITION BY key, epoch, {part} ORDER BY {order}) AS last_op
+FROM (SELECT *, count(*) FILTER (op = 'DEL') OVER (PARTITION BY key ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS epoch FROM ({log}))) WHERE op = 'PUT'"""
 
 
-@query(f"""SELECT seq, key, sum(new)::BIGINT AS reply FROM (SELECT seq, key, CASE WHEN row_number() OVER (PARTITION BY key, field ORDER BY seq, pos) = 1 THEN 1 ELSE 0 END AS new
-FROM ({_HASH_LOG})) GROUP BY seq, key""")
+def sums_sql(log: str, part: str, delta: str) -> str:
+    """Running sums of a part's puts since it, or the key, was last deleted."""
+    so_far = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    return f"""SELECT * FROM (SELECT *, (sum(CASE WHEN op = 'PUT' THEN {delta} END) OVER (PARTITION BY key, epoch, {part}, life ORDER BY seq {so_far}))::BIGINT AS reply
+FROM (SELECT *, count(*) FILTER (op = 'REM') OVER (PARTITION BY key, epoch, {part} ORDER BY seq {so_far}) AS life
+FROM (SELECT *, count(*) FILTER (op = 'DEL') OVER (PARTITION BY key ORDER BY seq {so_far}) AS epoch FROM ({log})))) WHERE op = 'PUT'"""
+
+
+_HASH_LOG = "SELECT seq // 5 AS seq, seq % 5 AS pos, op, key, part AS field FROM part_log"
+
+
+@query(f"SELECT seq, key, sum(new)::BIGINT AS reply FROM ({added_sql(_HASH_LOG, 'field', 'seq, pos')}) GROUP BY seq, key")
 def hset_new_fields(spark: SparkSession, sf: str) -> DataFrame:
     return hs.hset(_hash_log(spark, sf))
 
 
+@query("""SELECT l.key, part AS field, arg_max(seq, seq)::VARCHAR AS value FROM part_log l LEFT JOIN (SELECT key, max(seq) AS gone FROM part_log WHERE op = 'DEL' GROUP BY key) d ON l.key = d.key
+WHERE op <> 'DEL' AND seq > coalesce(gone, 0) GROUP BY l.key, part HAVING arg_max(op, seq) = 'PUT'""")
+def hmset_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Hashes after writes and deletions of fields and keys."""
+    log = fx.part_log(spark, sf).withColumnRenamed("part", "field").withColumn("value", F.col("seq").cast("string"))
+    return hs.hmset(log)
+
+
 @query("SELECT key, string_agg(field || '=' || value, ',' ORDER BY field) AS fields FROM hashes GROUP BY key")
 def hgetall(spark: SparkSession, sf: str) -> DataFrame:
     text = F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat(e.key, F.lit("="), e.value)), ",")
@@ -56,9 +77,9 @@ def hkeys_hvals(spark: SparkSession, sf: str) -> DataFrame:
     return hs.hgetall(fx.hashes(spark, sf)).select("key", F.array_join(F.map_keys("fields"), ",").alias("fields"), F.array_join(F.map_values("fields"), ",").alias("vals"))
 
 
-@query("""SELECT key, seq, value AS field, (sum(round(amount)::BIGINT) OVER (PARTITION BY key, value ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS reply FROM kv_log""")
+@query(f"SELECT key, seq, field, reply FROM ({sums_sql('SELECT *, part AS field FROM part_log', 'field', 'round(amount)::BIGINT')})")
 def hincrby(spark: SparkSession, sf: str) -> DataFrame:
-    log = fx.kv_log(spark, sf).select("seq", "key", F.col("value").alias("field"), "amount")
+    log = fx.part_log(spark, sf).withColumnRenamed("part", "field")
     return hs.hincrby(log, F.round("amount").cast("long")).select("key", "seq", "field", "reply")
 
 
@@ -77,7 +98,7 @@ def hdel(spark: SparkSession, sf: str) -> DataFrame:
     return hs.hdel(fx.hashes(spark, sf), _fields(spark).select("key", "field")).select("key", "field", "value")
 
 
-@query(f"SELECT seq, pos, key, field, CASE WHEN row_number() OVER (PARTITION BY key, field ORDER BY seq, pos) = 1 THEN 1 ELSE 0 END::BIGINT AS reply FROM ({_HASH_LOG})")
+@query(f"SELECT seq, pos, key, field, new::BIGINT AS reply FROM ({added_sql(_HASH_LOG, 'field', 'seq, pos')})")
 def hsetnx_first(spark: SparkSession, sf: str) -> DataFrame:
     return hs.hset_if_missing(_hash_log(spark, sf)).select("seq", "pos", "key", "field", "reply")
 
@@ -111,6 +132,12 @@ def lpush_order(spark: SparkSession, sf: str) -> DataFrame:
     return ls.push(log, left=True).select("key", "seq", "reply", "idx")
 
 
+@query("SELECT key, seq, n AS reply, n - 1 AS idx FROM (SELECT key, seq, count(*) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM kv_log)")
+def rpush_order(spark: SparkSession, sf: str) -> DataFrame:
+    log = fx.kv_log(spark, sf).select("seq", F.lit(0).alias("pos"), "key", "value")
+    return ls.push(log, left=False).select("key", "seq", "reply", "idx")
+
+
 @query(f"SELECT key, pos - 1 AS idx, value FROM ({_PLACED}) WHERE pos BETWEEN 1 AND 3")
 def ltrim(spark: SparkSession, sf: str) -> DataFrame:
     return ls.ltrim(fx.lists(spark, sf), 1, 3)
@@ -153,17 +180,24 @@ def linsert_before(spark: SparkSession, sf: str) -> DataFrame:
     return ls.linsert(fx.lists(spark, sf), F.lit("assistant"), F.lit("new"))
 
 
-@query(None)
+_PUSHES = "CASE value WHEN 'error' THEN 'RPOP' WHEN 'signup' THEN 'LPOP' WHEN 'view' THEN 'LPUSH' ELSE 'RPUSH' END"
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT key, {_PUSHES} AS op, seq::VARCHAR AS v, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM kv_log),
+r AS (SELECT DISTINCT key, 0::BIGINT AS n, []::VARCHAR[] AS items FROM kv_log UNION ALL
+  SELECT l.key, l.n, CASE l.op WHEN 'LPUSH' THEN list_prepend(l.v, r.items) WHEN 'RPUSH' THEN list_append(r.items, l.v)
+    WHEN 'LPOP' THEN list_slice(r.items, 2, len(r.items)) ELSE list_slice(r.items, 1, len(r.items) - 1) END FROM r JOIN l ON l.key = r.key AND l.n = r.n + 1)
+SELECT r.key, coalesce(array_to_string(items, ','), '') AS items FROM r JOIN (SELECT key, max(n) AS n FROM l GROUP BY key) m ON r.key = m.key AND r.n = m.n""")
 def list_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Pushes and pops in any order: tested against a replay in Python."""
-    op = F.expr("CASE value WHEN 'error' THEN 'RPOP' WHEN 'signup' THEN 'LPOP' WHEN 'view' THEN 'LPUSH' ELSE 'RPUSH' END")
+    """Pushes and pops in any order."""
+    op = F.expr(_PUSHES)
     log = fx.kv_log(spark, sf).select("seq", "key", op.alias("op"), F.col("seq").cast("string").alias("value"))
     return ls.interleaved(log).select("key", F.array_join("items", ",").alias("items"))
 
 
-@query("SELECT key, seq, CASE WHEN row_number() OVER (PARTITION BY key, value ORDER BY seq) = 1 THEN 1 ELSE 0 END AS reply FROM kv_log")
+@query(f"SELECT key, seq, new AS reply FROM ({added_sql('SELECT *, part AS member FROM part_log', 'member', 'seq')})")
 def sadd_new(spark: SparkSession, sf: str) -> DataFrame:
-    return ss.sadd(fx.kv_log(spark, sf).select("seq", "key", F.col("value").alias("member"))).select("key", "seq", "reply")
+    return ss.sadd(fx.part_log(spark, sf).withColumnRenamed("part", "member")).select("key", "seq", "reply")
 
 
 @query("SELECT key, string_agg(member, ',' ORDER BY member) AS members FROM sets GROUP BY key")

@@ -43,5 +43,11 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables in the shared folder. Results that read them must be stored first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/keyfold")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/keyfold/{name}-{os.urandom(8).hex()}"

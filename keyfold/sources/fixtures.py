@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.session import table
+from keyfold.session import new_folder, table
 
 
 def _name(prefix: str, column: str):
@@ -26,10 +26,32 @@ def kv_log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def part_log(spark: SparkSession, sf: str) -> DataFrame:
+    """(seq, op, key, part, amount): writes to parts of users' hashes and sets; a sign-up removes a
+    part, an error the whole key."""
+    op = F.when(F.col("value") == "error", "DEL").when(F.col("value") == "signup", "REM").otherwise("PUT")
+    return kv_log(spark, sf).select("seq", op.alias("op"), "key", F.concat(F.lit("part"), (F.col("seq") % 4).cast("string")).alias("part"), "amount")
+
+
 def strings(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(_name("order:", "o_orderkey").alias("key"), F.col("o_orderpriority").alias("value"))
 
 
+_stored: dict = {}
+
+
+def stored_strings(spark: SparkSession, sf: str) -> DataFrame:
+    """``strings`` as a stored snapshot of sorted runs, written once a session."""
+    from keyfold.sources.storage import write_snapshot
+
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _stored:
+        path = new_folder(spark, "snapshot")
+        write_snapshot(strings(spark, sf), path)
+        _stored[key] = path
+    return spark.read.schema("key string, value string").parquet(_stored[key])
+
+
 def hashes(spark: SparkSession, sf: str) -> DataFrame:
     """(key, field, value): customers' name, nation, segment and balance in cents."""
     c = table(spark, sf, "customer")
@@ -97,6 +119,8 @@ NOW_MS = 1706572800000
 #: The same tables for the oracle, by name.
 SQL = {
     "kv_log": "SELECT event_id AS seq, 'user:' || user_id AS key, CASE WHEN event_type = 'error' THEN 'DEL' ELSE 'PUT' END AS op, event_type AS value, value AS amount, ts, user_id FROM events",
+    "part_log": """SELECT event_id AS seq, CASE event_type WHEN 'error' THEN 'DEL' WHEN 'signup' THEN 'REM' ELSE 'PUT' END AS op, 'user:' || user_id AS key,
+      'part' || (event_id % 4) AS part, value AS amount FROM events""",
     "strings": "SELECT 'order:' || o_orderkey AS key, o_orderpriority AS value FROM orders",
     "hashes": """SELECT 'cust:' || c_custkey AS key, unnest(['name', 'nation', 'segment', 'cents']) AS field,
       unnest([c_name, c_nationkey::VARCHAR, c_mktsegment, (round(c_acctbal * 100)::BIGINT)::VARCHAR]) AS value FROM customer""",
@@ -123,4 +147,6 @@ def with_tables(sql: str) -> str:
     if not ctes:
         return sql
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     return f"WITH {ctes}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes} {body}"

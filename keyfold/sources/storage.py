@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, fields
 
@@ -35,15 +36,47 @@ class Options:
         return json.dumps(asdict(self))
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """One append is one batch: all of its rows become visible together."""
-    rows.write.mode("append").parquet(path)
-
-
-def read_log(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Rows of a log; files that can't be read are passed over, as torn tails of a log are."""
-    reader = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "false")
-    return (reader.schema(schema) if schema else reader).parquet(path)
+def _batches(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
+    """(number, whether it was written to its end) of a log's batches, in order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("batch=")]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted((int(p.getName()[6:]), fs.exists(done(p, "_SUCCESS"))) for p in names)
+
+
+def append_log(rows: DataFrame, path: str) -> int:
+    """One append is one numbered batch: all of its rows become visible together, once its mark of
+    success is there. A log has one writer. Gives the batch's number."""
+    known = _batches(rows.sparkSession, path)
+    number = known[-1][0] + 1 if known else 1
+    rows.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{path}/batch={number:012d}")
+    return number
+
+
+def read_log(spark: SparkSession, path: str, schema=None, torn: str = "stop") -> DataFrame:
+    """Rows of a log's batches, in none but whole batches.
+
+    Reading stops before the first batch that was not written to its end, as nothing after it may
+    count (``torn="stop"``), or raises ValueError (``torn="raise"``). A batch with a damaged file
+    raises when it is read: nothing is passed over, so no older value comes back to life.
+    """
+    known = _batches(spark, path)
+    whole = []
+    for number, done in known:
+        if not done:
+            if torn == "raise":
+                raise ValueError(f"batch {number} of {path} was not written to its end")
+            break
+        whole.append(f"{path}/batch={number:012d}")
+    reader = spark.read.option("mergeSchema", "false").option("ignoreCorruptFiles", "false")
+    if not whole:
+        if schema is None:
+            raise ValueError(f"no batches in {path}")
+        return spark.createDataFrame([], schema)
+    return (reader.schema(schema) if schema else reader).parquet(*whole)
 
 
 def write_snapshot(rows: DataFrame, path: str, options: Options | None = None, key: str = "key") -> None:
@@ -105,17 +138,17 @@ def pick_compaction(files: DataFrame, base_rows: int) -> DataFrame:
 
 
 def replace_pointer(spark: SparkSession, folder: str, content: Mapping) -> None:
-    """Write a small JSON file and rename it into place, so readers see the old or the new one."""
-    jvm = spark._jvm
+    """Write a small JSON file and rename it over the old one in one step of the file system, so
+    readers and crashes see the old or the new one, never none."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT")
-    temporary = jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT.new")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(temporary, True)
+    temporary = jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT.{uuid.uuid4().hex}")
+    out = target.getFileSystem(conf).create(temporary, True)
     out.write(bytearray(json.dumps(dict(content)).encode()))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(temporary, target):
-        raise OSError(f"could not move {temporary} into place")
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(temporary, target, options)
 
 
 def read_pointer(spark: SparkSession, folder: str) -> dict:
@@ -124,7 +157,8 @@ def read_pointer(spark: SparkSession, folder: str) -> dict:
 
 def checksum(rows: DataFrame) -> DataFrame:
     """One row: how many rows, and a sum of hashes that doesn't depend on their order."""
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*rows.columns)), F.lit(0).cast("long")).alias("check"))
+    total = F.sum(F.xxhash64(*rows.columns).cast("decimal(20,0)"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(total, F.lit(0)).cast("decimal(38,0)").alias("check"))
 
 
 def backup(rows: DataFrame, path: str) -> bool:
@@ -153,5 +187,20 @@ def migrate(tables: Mapping[str, DataFrame], done: DataFrame | None = None, pref
     return out if done is None else out.join(done.select("type", "key").distinct(), ["type", "key"], "left_anti")
 
 
+def migrate_to(target: str, tables: Mapping[str, DataFrame], **which) -> DataFrame:
+    """Moves rows to a table of ``target``, split by type, and gives what this run moved.
+
+    Keys that the target has already stay as they are, so a run that failed can be run again.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    done = spark.read.schema("type string, key string").parquet(target) if there else None
+    run = uuid.uuid4().hex
+    migrate(tables, done, **which).withColumn("run", F.lit(run)).write.mode("append").partitionBy("type", "run").parquet(target)
+    moved = spark.read.schema("key string, field string, value string, type string, run string").parquet(target)
+    return moved.where(F.col("run") == run).select("type", "key", "field", "value")
+
+
 def migration_stats(moved: DataFrame) -> DataFrame:
     return moved.groupBy("type").agg(F.count_distinct("key").alias("n_keys"), F.count(F.lit(1)).alias("n_rows"))

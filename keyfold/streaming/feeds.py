@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from keyfold.session import new_folder
@@ -76,25 +77,27 @@ def folded_stream(log: DataFrame) -> DataFrame:
 
 
 def sessions(log: DataFrame, gap: str, late: str = "1 day") -> DataFrame:
-    """(key, start, end, n): runs of a key's rows no further apart than ``gap``; the state of a
-    run expires when the watermark passes it."""
+    """(key, start, end, n): runs of a key's rows no further apart than ``gap``. In append mode a run
+    comes out, and its state goes, when the watermark passes its end; complete mode keeps all."""
     rows = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     found = rows.groupBy("key", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return found.select("key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def windows(log: DataFrame, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
-    """(key, start, n) of tumbling or sliding windows of event time."""
+    """(key, start, n) of tumbling or sliding windows of event time. In append and update mode a
+    window's state goes when the watermark passes it; complete mode keeps all."""
     rows = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
     return rows.groupBy("key", w.alias("w")).agg(F.count(F.lit(1)).alias("n")).select("key", F.col("w.start").alias("start"), "n")
 
 
 def run_once(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives when it has read all that is there.
+    """What a stream gives when it has read all that is there, with ``batch``'s number in update mode.
 
     Each micro-batch is written under its number, so a batch that is tried again replaces itself.
-    In complete mode the last batch is the result.
+    In complete mode the last batch is the result; in update mode the caller takes the last row of
+    each key. A stream without files gives an empty result. The checkpoint goes at the end.
     """
     spark = stream.sparkSession
     folder = new_folder(spark, "stream")
@@ -106,7 +109,22 @@ def run_once(stream: DataFrame, mode: str) -> DataFrame:
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     )
     q.awaitTermination()
-    out = spark.read.parquet(f"{folder}/out")
+    state = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state")
+    fs = state.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(state, True)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")):
+        out = spark.createDataFrame([], schema)
+    else:
+        out = spark.read.schema(schema).parquet(f"{folder}/out")
     if mode == "complete":
-        out = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])
-    return out.drop("batch")
+        last = out.agg(F.max("batch")).first()[0]
+        out = out.where(F.col("batch") == F.lit(last)).drop("batch")
+    return out if mode == "update" else out.drop("batch")
+
+
+def latest_of_updates(out: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The last row of each key over the batches of an update-mode stream."""
+    rest = [c for c in out.columns if c not in (*key, "batch")]
+    last = out.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(*key, *[F.col(f"_last.{c}").alias(c) for c in rest])

@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
-from keyfold.operators import cluster, lists, oplog
+from keyfold.operators import cluster, hashes, lists, oplog
 from keyfold.plans import catalog
 from keyfold.sources import storage
 from keyfold.streaming import feeds
@@ -73,7 +73,7 @@ def test_fold_against_replay(spark, ops, snapshot):
         assert {r["key"]: r["value"] for r in found.collect()} == expected
 
 
-def test_range_tombstones_by_prefix_equal_broadcast(spark):
+def test_range_tombstones_by_sweep_equal_broadcast(spark):
     rows = spark.range(500).select(F.col("id").alias("seq"), F.lit("PUT").alias("op"), F.concat(F.lit("user:"), (F.col("id") * 13 % 97).cast("string")).alias("key"))
     t = spark.createDataFrame([("user:1", "user:3", 250), ("", "user:05", 400), ("user:9", "z", 10)], "begin_key string, end_key string, seq long")
     few = oplog.hide_ranges(rows, t).select("seq").collect()
@@ -81,6 +81,43 @@ def test_range_tombstones_by_prefix_equal_broadcast(spark):
     assert sorted(few) == sorted(many) and len(few) < 500
 
 
+RANGES = hs.lists(hs.tuples(hs.text("abc", max_size=3), hs.text("abc", max_size=3), hs.integers(0, 30)), min_size=1, max_size=25)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(RANGES, hs.lists(hs.tuples(hs.text("abcd", max_size=3), hs.integers(0, 30)), min_size=1, max_size=30))
+def test_range_tombstones_against_a_loop(spark, ranges, keys):
+    rows = spark.createDataFrame([*keys, (None, 1)], "key string, seq long")
+    t = spark.createDataFrame(ranges, "begin_key string, end_key string, seq long")
+    want = [(k, s) for k, s in keys if not any(b <= k < e and s < q for b, e, q in ranges)] + [(None, 1)]
+    got = [tuple(r) for r in oplog.hide_ranges(rows, t, limit=0).select("key", "seq").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+OPS = hs.lists(hs.tuples(hs.sampled_from("kl"), hs.sampled_from(["PUT", "PUT", "PUT", "REM", "DEL"]), hs.sampled_from("xyz"), hs.integers(-5, 5)), min_size=1, max_size=40)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(OPS)
+def test_replies_of_parts_against_replay(spark, ops):
+    state, want = {}, []
+    for i, (key, op, part, n) in enumerate(ops):
+        parts = state.setdefault(key, {})
+        if op == "DEL":
+            parts.clear()
+        elif op == "REM":
+            parts.pop(part, None)
+        else:
+            want.append((i, int(part not in parts), parts.get(part, 0) + n))
+            parts[part] = parts.get(part, 0) + n
+    log = spark.createDataFrame([(i, *o) for i, o in enumerate(ops)], "seq long, key string, op string, field string, n long")
+    new = {r["seq"]: r["new"] for r in oplog.additions(log, "field").collect()}
+    total = {r["seq"]: r["reply"] for r in oplog.part_sums(log, "field", F.col("n")).collect()}
+    assert [(i, new[i], total[i]) for i in sorted(new)] == want and set(new) == set(total)
+    left = {(r["key"], r["field"]) for r in hashes.hmset(log.withColumn("value", F.col("n"))).collect()}
+    assert left == {(k, p) for k, parts in state.items() for p in parts}
+
+
 def test_nodes(spark):
     nodes = cluster.assign(spark, ["a", "b"])
     moved = cluster.remove_node(cluster.add_node(nodes, "c", 8000, 9000), "b", "a")
@@ -100,6 +137,75 @@ def test_options_and_pointer(spark, tmp_path):
     for version in (1, 2):
         storage.replace_pointer(spark, folder, {"version": version})
         assert storage.read_pointer(spark, folder) == {"version": version}
+    assert [f for f in os.listdir(tmp_path) if not f.startswith(".")] == ["CURRENT"]
+
+
+def test_log_stops_at_a_torn_batch_and_raises_on_damage(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    rows = lambda n: spark.range(n, n + 3).select(F.col("id").alias("seq"))
+    assert storage.read_log(spark, path, "seq long").count() == 0
+    assert [storage.append_log(rows(n), path) for n in (0, 3, 6)] == [1, 2, 3]
+    assert storage.read_log(spark, path).count() == 9
+    os.remove(tmp_path / "log/batch=000000000002/_SUCCESS")
+    assert sorted(r["seq"] for r in storage.read_log(spark, path).collect()) == [0, 1, 2]
+    with pytest.raises(ValueError, match="batch 2"):
+        storage.read_log(spark, path, torn="raise")
+    one = next((tmp_path / "log/batch=000000000001").glob("*.parquet"))
+    one.write_bytes(one.read_bytes()[:40])
+    for crc in (tmp_path / "log/batch=000000000001").glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        storage.read_log(spark, path, "seq long").collect()
+
+
+def test_checksum_sees_pairs_of_equal_rows(spark):
+    one = spark.createDataFrame([("a",)], "key string")
+    other = spark.createDataFrame([("b",)], "key string")
+    assert storage.checksum(one.union(one)).first() != storage.checksum(other.union(other)).first()
+
+
+def test_migration_goes_on_where_it_stopped(spark, tmp_path):
+    target = f"file://{tmp_path}/moved"
+    strings = spark.createDataFrame([("a", "1"), ("b", "2"), ("x", "3")], "key string, value string")
+    hashed = spark.createDataFrame([("a", "f", "1")], "key string, field string, value string")
+    assert storage.migrate_to(target, {"string": strings}, prefix="a").count() == 1
+    moved = storage.migrate_to(target, {"string": strings, "hash": hashed}, keys=["a", "b"])
+    assert sorted((r["type"], r["key"]) for r in moved.collect()) == [("hash", "a"), ("string", "b")]
+    assert spark.read.parquet(target).count() == 3
+
+
+def read_rows(df):
+    """Rows that the scan of a query gave, before its filter."""
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan()
+    while text.children().size():
+        text = text.children().apply(0)
+    return text.metrics().apply("numOutputRows").value()
+
+
+def test_snapshots_are_pruned(spark, tmp_path):
+    path = f"file://{tmp_path}/snapshot"
+    rows = spark.range(20_000).select(F.format_string("key:%05d", F.col("id") * 2).alias("key"), F.lit("v").alias("value"))
+    storage.write_snapshot(rows, path, storage.Options(files=8))
+    stored = spark.read.parquet(path)
+    prefix = stored.where(F.col("key").startswith("key:3"))
+    plan = prefix._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(key), StringStartsWith(key,key:3)]" in plan
+    assert prefix.count() == 5000 and read_rows(prefix) < 9000
+    spark.conf.set("spark.sql.parquet.enableVectorizedReader", "false")  # counts rows, not batches
+    missing, there = (stored.where(F.col("key") == k) for k in ("key:10001", "key:10002"))
+    assert missing.count() == 0 and read_rows(missing) == 0 and there.count() == 1 and read_rows(there) > 0
+    spark.conf.unset("spark.sql.parquet.enableVectorizedReader")
+    files = storage.manifest(spark, path)
+    assert files.count() == 8 and files.agg(F.sum("n_rows")).first()[0] == 20_000
+
+
+def test_stream_without_files(spark, tmp_path):
+    os.makedirs(tmp_path / "none")
+    log = feeds.log_stream(spark, f"file://{tmp_path}/none", "seq long, key string, op string, value string, ts timestamp")
+    for mode, stream in (("append", feeds.watch(log, ["a*"])), ("update", feeds.folded_stream(log)), ("complete", feeds.folded_stream(log))):
+        out = feeds.run_once(stream, mode)
+        assert out.count() == 0 and set(stream.columns) <= set(out.columns)
 
 
 def test_backlog_continues_inside_the_ring(spark):
