@@ -227,6 +227,15 @@ def test_top_plans_have_no_python_and_push_down(spark):
     assert "TakeOrderedAndProject" in top and "PushedFilters: [IsNotNull(event_id), LessThanOrEqual(event_id,8000)]" in top
 
 
+def test_queries_without_the_extras(monkeypatch):
+    import sys
+
+    import __spark_entry__ as e
+
+    monkeypatch.setitem(sys.modules, "keyfold.llm", None)  # importing it raises ImportError
+    assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(SQL)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
