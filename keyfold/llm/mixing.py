@@ -87,11 +87,14 @@ def mix(
     alike, and a retried task draws the same. Copies are exploded, dealt to partitions by a hash
     of (seed, id, text, copy) and sorted by it there. No step groups by source.
 
-    Every column of ``docs`` is kept; ``copy_col``, if given, adds the copy's number from 1. Null
+    Every column of ``docs`` is kept; ``copy_col``, if given, adds the copy's number from 1; a column
+    of that name in ``docs``, in any case, raises ValueError, as neither could be told from the other. Null
     ids and texts hash as empty. An empty table gives an empty result. A source of weight 0 gives
     no rows.
     """
     spark = docs.sparkSession
+    if copy_col and copy_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the documents have a column {copy_col!r} already")
     rest_name = "\x00rest"
     group = F.when(F.col(source_col).isin(*weights), F.col(source_col)).otherwise(F.lit(rest_name)) if weights else F.lit(rest_name)
     counts = {r["g"]: r["count"] for r in docs.groupBy(group.alias("g")).count().collect()}
@@ -105,5 +108,3 @@ def mix(
         out = out.withColumn(order, F.xxhash64(F.lit(seed), *key, F.col(copy)))
         out = out.repartition(n, order).sortWithinPartitions(F.xxhash64(order), order).drop(order)
     return out.withColumnRenamed(copy, copy_col) if copy_col else out.drop(copy)
-
-
