@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keyfold.functions.bytes import clamp
 from keyfold.operators.oplog import additions, part_sums
+from keyfold.plans.rank import global_rank
 
 
 def order(reverse: bool = False) -> list[Column]:
@@ -35,6 +36,17 @@ def zrank(rows: DataFrame, reverse: bool = False) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w) - 1)
 
 
+def zranks(rows: DataFrame) -> DataFrame:
+    """Rows with ``rank`` and ``revrank`` from 0 in their own set, by one sort."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    return zrank(rows).withColumn("revrank", n - 1 - F.col("rank"))
+
+
+def zrank_spread(rows: DataFrame, reverse: bool = False) -> DataFrame:
+    """As ``zrank``, for sets too large for a task: a set spreads over ranges of its order."""
+    return global_rank(rows, order(reverse), key=("key",))
+
+
 def zrange(rows: DataFrame, start: int, stop: int, reverse: bool = False) -> DataFrame:
     """Ranks start..stop of each set, inclusive, negatives from the end.
 

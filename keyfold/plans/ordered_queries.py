@@ -34,9 +34,13 @@ def zrevrange(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT key, member, row_number() OVER (PARTITION BY key ORDER BY score, member) - 1 AS rank,
 row_number() OVER (PARTITION BY key ORDER BY score DESC, member DESC) - 1 AS revrank FROM zsets""")
 def zrank_zrevrank(spark: SparkSession, sf: str) -> DataFrame:
-    up = zs.zrank(fx.zsets(spark, sf)).withColumnRenamed("rank", "up")
-    both = zs.zrank(up, reverse=True)
-    return both.select("key", "member", F.col("up").cast("long").alias("rank"), F.col("rank").cast("long").alias("revrank"))
+    return zs.zranks(fx.zsets(spark, sf)).select("key", "member", F.col("rank").cast("long").alias("rank"), F.col("revrank").cast("long").alias("revrank"))
+
+
+@query("SELECT key, member, row_number() OVER (PARTITION BY key ORDER BY score DESC, member DESC) - 1 AS rank FROM zsets")
+def zrevrank_spread(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranks in sets that may be larger than a task: each spreads over ranges."""
+    return zs.zrank_spread(fx.zsets(spark, sf), reverse=True).select("key", "member", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT member, score, row_number() OVER (ORDER BY score, member) - 1 AS rank FROM parts")

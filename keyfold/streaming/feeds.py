@@ -32,20 +32,13 @@ def offsets(log: DataFrame, size: str = "value") -> DataFrame:
     """Log rows with ``begin`` and ``end`` byte offsets in the replication stream.
 
     ``size`` names a text whose bytes, with a frame of eight, are sent. The running sum is over
-    whole rows in order of seq; a stream of many files keeps offsets in its source instead.
+    whole rows in order of seq, range by range; a stream of many files keeps offsets in its source.
     """
-    from keyfold.plans.rank import global_rank
-
-    ranked = global_rank(log.withColumn("_size", F.octet_length(size) + 8), [F.col("seq")])
-    from pyspark.sql import Window
-
-    block = ranked.withColumn("_block", F.floor(F.col("rank") / 4096))
-    totals = block.groupBy("_block").agg(F.sum("_size").alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.select("_block", before.alias("_start"))
-    so_far = F.sum("_size").over(Window.partitionBy("_block").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = block.withColumn("_to", so_far).join(starts, "_block")
-    return placed.withColumn("end", F.col("_start") + F.col("_to")).withColumn("begin", F.col("end") - F.col("_size")).drop("_block", "_start", "_to", "_size", "rank")
+    from keyfold.plans.rank import running_total
+
+    bytes_ = F.octet_length(size) + 8
+    placed = running_total(log, [F.col("seq")], bytes_, "end")
+    return placed.withColumn("begin", F.col("end") - bytes_)
 
 
 def backlog(placed: DataFrame, from_offset: int, capacity: int) -> tuple[str, DataFrame]:

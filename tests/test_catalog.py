@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from keyfold.operators import cluster, hashes, lists, oplog
 from keyfold.plans import catalog
+from keyfold.plans.rank import global_rank, running_total
 from keyfold.sources import storage
 from keyfold.streaming import feeds
 
@@ -118,6 +119,16 @@ def test_replies_of_parts_against_replay(spark, ops):
     assert left == {(k, p) for k, parts in state.items() for p in parts}
 
 
+def test_ranks_of_keys_that_spread(spark):
+    rows = [(k, (i * 7) % 50, i) for k, n in (("a", 300), ("b", 3), (None, 4)) for i in range(n)]
+    df = spark.createDataFrame(rows, "key string, score long, member long")
+    got = {(r["key"], r["member"]): r["rank"] for r in global_rank(df, [F.col("score"), F.col("member")], 6, key=("key",)).collect()}
+    want = {(k, m): n for key in ("a", "b", None) for n, (_, k, m) in enumerate(sorted((s, k, m) for k, s, m in rows if k == key))}
+    assert got == want
+    total = running_total(df.where("key = 'a'"), [F.col("member")], F.col("score"), "total", 5)
+    assert {r["member"]: r["total"] for r in total.collect()} == {m: sum(s for k, s, i in rows if k == "a" and i <= m) for m in range(300)}
+
+
 def test_nodes(spark):
     nodes = cluster.assign(spark, ["a", "b"])
     moved = cluster.remove_node(cluster.add_node(nodes, "c", 8000, 9000), "b", "a")
