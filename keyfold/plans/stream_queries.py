@@ -9,6 +9,7 @@ from keyfold.plans.registry import query
 from keyfold.session import new_folder
 from keyfold.sources import fixtures as fx
 from keyfold.streaming import feeds
+from keyfold.streaming.expiry import expired
 
 #: Files of the log may come in any order, so rows may be as late as the log is long.
 _LATE = "60 days"
@@ -56,6 +57,16 @@ def stream_fold(spark: SparkSession, sf: str) -> DataFrame:
     return folded.where("op <> 'DEL'").select("key", "seq", "value")
 
 
+@query("""WITH l AS (SELECT key, seq, op, value, epoch_us(ts) // 1000 + floor(amount * 60000)::BIGINT AS expire_at FROM kv_log QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)
+SELECT key, seq, value, expire_at FROM l WHERE op <> 'DEL' AND expire_at <= (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM kv_log)""")
+def stream_ttl_expired(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys that a stream drops when the watermark passes their expiry."""
+    log = fx.kv_log(spark, sf).select("seq", "key", "op", "value", F.col("ts").cast("timestamp").alias("ts"), (F.unix_millis(F.col("ts").cast("timestamp")) + F.floor(F.col("amount") * 60000).cast("long")).alias("expire_at"))
+    path = new_folder(spark, "log")
+    log.write.parquet(path)
+    return feeds.run_once(expired(feeds.log_stream(spark, path, log.schema)), "append")
+
+
 @query("""WITH l AS (SELECT key, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM kv_log WINDOW w AS (PARTITION BY key ORDER BY seq)),
 s AS (SELECT key, ts, sum(new) OVER (PARTITION BY key ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM l)
 SELECT key, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM s GROUP BY key, run""")
