@@ -43,6 +43,11 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all intermediate tables in the shared folder. Results that read them must be stored first."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/keyfold")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.session import new_folder, table
+from keyfold.session import exists, new_folder, table
 
 
 def _name(prefix: str, column: str):
@@ -45,7 +45,7 @@ def stored_strings(spark: SparkSession, sf: str) -> DataFrame:
     from keyfold.sources.storage import write_snapshot
 
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _stored:
+    if key not in _stored or not exists(spark, _stored[key]):
         path = new_folder(spark, "snapshot")
         write_snapshot(strings(spark, sf), path)
         _stored[key] = path

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfold.operators.oplog import fold
+from keyfold.session import exists
 
 #: Fixed values of the level scheme: files of level 0 that start a compaction, growth of a level.
 LEVEL0_FILES, RATIO = 4, 10
@@ -193,9 +194,7 @@ def migrate_to(target: str, tables: Mapping[str, DataFrame], **which) -> DataFra
     Keys that the target has already stay as they are, so a run that failed can be run again.
     """
     spark = next(iter(tables.values())).sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
-    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    done = spark.read.schema("type string, key string").parquet(target) if there else None
+    done = spark.read.schema("type string, key string").parquet(target) if exists(spark, target) else None
     run = uuid.uuid4().hex
     migrate(tables, done, **which).withColumn("run", F.lit(run)).write.mode("append").partitionBy("type", "run").parquet(target)
     moved = spark.read.schema("key string, field string, value string, type string, run string").parquet(target)
