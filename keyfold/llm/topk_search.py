@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 from keyfold.llm.common import materialize
 
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
+#: Packed queries up to this size are broadcast.
+BROADCAST_BYTES = 32_000_000
 _PACKED = "ids binary, terms binary, weights binary, starts binary"
 
 
@@ -67,15 +69,21 @@ def _block(ids: np.ndarray, parts: list[pa.Array]) -> pa.RecordBatch:
     order = np.lexsort((row, term))
     row, term, flat = row[order], term[order], flat[order]
     names, first = np.unique(term, return_index=True)
-    packed = [ids.astype(np.int64), names.astype(np.int64), np.stack([row, flat]).astype(np.int64), np.append(first, len(row)).astype(np.int64)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([x.tobytes()], pa.binary()) for x in packed], names=["ids", "terms", "weights", "starts"]
-    )
+    # rows of a block and most weights fit 32 bits; the last byte says how wide the weights are
+    wide = np.int32 if not len(flat) or np.abs(flat.astype(float)).max() < 2**31 else np.int64
+    packed = [
+        ids.astype(np.int64).tobytes(),
+        names.astype(np.int64).tobytes(),
+        row.astype(np.int32).tobytes() + flat.astype(wide).tobytes() + bytes([np.dtype(wide).itemsize]),
+        np.append(first, len(row)).astype(np.int64).tobytes(),
+    ]
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], names=["ids", "terms", "weights", "starts"])
 
 
 def _unpack(ids: bytes, terms: bytes, weights: bytes, starts: bytes):
-    ids_, terms_, starts_ = (np.frombuffer(x, np.int64) for x in (ids, terms, starts))
-    rows, values = np.frombuffer(weights, np.int64).reshape(2, -1)
+    ids_, terms_, starts_ = (np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64) for x in (ids, terms, starts))
+    n, wide = int(starts_[-1]), {4: np.int32, 8: np.int64}[memoryview(weights)[-1]]
+    rows, values = np.frombuffer(weights, np.int32, n), np.frombuffer(weights, wide, n, 4 * n).astype(np.int64)
     lists = {}
     for k, t in enumerate(terms_):
         a, b = starts_[k], starts_[k + 1]
@@ -119,20 +127,39 @@ def _exact_scores(queries, candidates) -> np.ndarray:
     return np.clip(_scores(queries, candidates, object), LONG_MIN, LONG_MAX).astype(np.int64)
 
 
-def _best(k: int, queries_per_step: int = 64):
-    names = ["query_id", "vec_id", "score"]
+_NAMES = ("ids", "terms", "weights", "starts")
+_FOUND = "query_id long, vec_id long, score long"
+
+
+def _best(queries, candidates, k: int, queries_per_step: int = 64) -> Iterator[pa.RecordBatch]:
+    out = [[], [], []]
+    for at in range(0, len(queries[0]), queries_per_step):
+        for x, y in zip(out, _step(queries, candidates, at, queries_per_step, k), strict=True):
+            x.append(y)
+    if out[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
+
+
+def _best_of_pairs(k: int):
+    """Rows of a query block and a candidate block; two are unpacked at a time, however many a batch holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                queries = _unpack(row["q_ids"], row["q_terms"], row["q_weights"], row["q_starts"])
-                candidates = _unpack(row["ids"], row["terms"], row["weights"], row["starts"])
-                out = [[], [], []]
-                for at in range(0, len(queries[0]), queries_per_step):
-                    for x, y in zip(out, _step(queries, candidates, at, queries_per_step, k), strict=True):
-                        x.append(y)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
+            for i in range(batch.num_rows):
+                q, c = ([batch.column(f"{side}{x}")[i].as_buffer() for x in _NAMES] for side in ("q_", ""))
+                yield from _best(_unpack(*q), _unpack(*c), k)
+
+    return run
+
+
+def _best_of_shared(shared, block: int, k: int):
+    """Candidates, block by block, against all query blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for packed in _pack(block)(batches):
+            candidates = _unpack(*[packed.column(x)[0].as_buffer() for x in _NAMES])
+            for q in shared.value:
+                yield from _best(_unpack(*q), candidates, k)
 
     return run
 
@@ -177,9 +204,10 @@ def top_k(
     """(query_id, rank, vec_id, score): each query's ``k`` candidates of highest inner product.
 
     Vectors become sparse rows of integer weights. Candidates are packed, where they are read,
-    into inverted blocks of at most ``block`` rows; queries likewise. Each pair of blocks is one
-    row of a keyed join, so work spreads over blocks and no task holds more than two of them. In
-    it every query term scatters its weight times the term's postings into a dense array of
+    into inverted blocks of at most ``block`` rows; queries likewise. Query blocks up to
+    BROADCAST_BYTES go to where candidates are read; more of them meet candidate blocks by lanes of
+    a keyed join, a pair of blocks a row. No more than two blocks are unpacked at a time. For each
+    pair every query term scatters its weight times the term's postings into a dense array of
     scores, a partition picks the ``k`` best, and a ranking over blocks merges them.
 
     Ties go to the smaller id. A query never meets candidates of its own id. Where fewer than
@@ -190,16 +218,18 @@ def top_k(
     held at its bounds. Other columns are not looked at.
     """
     spark = candidates.sparkSession
-    c = materialize(quantise(candidates, id_col, vector_col, scale).mapInArrow(_pack(block), _PACKED), "candidate-blocks")
     q = materialize(quantise(queries, query_id, query_vector, scale).distinct().mapInArrow(_pack(query_block), _PACKED), "query-blocks")
-    n_blocks = c.count()
-    lanes = max(1, min(n_blocks, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    c = c.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)))
-    q = q.select(
-        *[F.col(x).alias(f"q_{x}") for x in ("ids", "terms", "weights", "starts")],
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"),
-    )
-    found = c.join(q.hint("merge"), "lane").drop("lane").mapInArrow(_best(k), "query_id long, vec_id long, score long")
+    size = q.agg(F.sum(sum(F.octet_length(x) for x in _NAMES))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        shared = spark.sparkContext.broadcast([tuple(bytes(r[x]) for x in _NAMES) for r in q.collect()])
+        found = quantise(candidates, id_col, vector_col, scale).mapInArrow(_best_of_shared(shared, block, k), _FOUND)
+    else:
+        c = materialize(quantise(candidates, id_col, vector_col, scale).mapInArrow(_pack(block), _PACKED), "candidate-blocks")
+        lanes = max(1, min(c.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        c = c.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long")))
+        q = q.select(*[F.col(x).alias(f"q_{x}") for x in _NAMES], every.alias("lane"))
+        found = c.join(q.hint("merge"), "lane").drop("lane").mapInArrow(_best_of_pairs(k), _FOUND)
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(by_query))
