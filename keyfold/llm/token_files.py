@@ -29,8 +29,8 @@ CHECKSUMS = 0x80
 
 #: Ids in one frame at most; a longer document takes several frames.
 FRAME_IDS = 1 << 22
-#: Chunks whose ids a Python worker remembers (about 150 MB).
-REMEMBERED = 700_000
+#: Chunks whose ids a Python worker remembers (about 110 MB).
+REMEMBERED = 500_000
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_bytes long"
 #: Pre-tokenizer pattern whose tokens hold no white space. Fixed value.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -188,8 +188,25 @@ class Reader:
     def ids(self, i: int) -> bytes:
         return b"".join(self.frame(k) for k in range(self.first[i], self.first[i + 1]))
 
+    def documents(self, block: int = 8 << 20) -> Iterator[bytes]:
+        """The ids of all documents in order; runs of frames of about ``block`` bytes are read at once."""
+        k, at = 0, 0
+        parts: list[bytes] = []
+        for i in range(len(self)):
+            for f in range(self.first[i], self.first[i + 1]):
+                if f >= k:
+                    at, k = int(self.starts[f]), max(f + 1, int(np.searchsorted(self.starts, self.starts[f] + block, "right")) - 1)
+                    held = self.source.read_at(int(self.starts[k]) - at, at)
+                a = int(self.starts[f]) - at
+                parts.append(self.checked(f, held[a : a + int(self.frames[f, 0])]))
+            yield b"".join(parts)
+            parts.clear()
+
     def frame(self, k: int) -> bytes:
-        raw = self.decompressor.decompress(self.source.read_at(int(self.frames[k, 0]), int(self.starts[k])))
+        return self.checked(k, self.source.read_at(int(self.frames[k, 0]), int(self.starts[k])))
+
+    def checked(self, k: int, packed: bytes) -> bytes:
+        raw = self.decompressor.decompress(packed)
         if len(raw) != self.frames[k, 1] or xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != self.frames[k, 2]:
             raise ValueError(f"frame {k} is damaged")
         return raw
@@ -271,8 +288,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with files.open_input_file(place) as source:
                 reader = Reader(source)
                 start, out = row["start"], []
-                for i in range(len(reader)):
-                    raw = reader.ids(i)
+                for i, raw in enumerate(reader.documents()):
                     out.append((reader.doc_id(i), start, len(raw) // 4, zlib.crc32(raw)))
                     start += len(raw) // 4
                     if len(out) == 50_000 or i == len(reader) - 1:
