@@ -64,10 +64,10 @@ def _counts(sample: list[str]) -> tuple[Counter, Counter]:
     return total, squares
 
 
-def apart(own: list[str], other: list[str]) -> dict[str, float]:
-    """Substrings that occur at least TIMES as often in ``own`` texts: by how many standard errors."""
-    (a, a2), (b, b2), n, m = _counts(own), _counts(other), len(own), len(other)
-    out = {}
+def apart(own: tuple[Counter, Counter], n: int, other: tuple[Counter, Counter], m: int) -> dict[str, float]:
+    """Substrings that occur at least TIMES as often in the n ``own`` texts as in the m others, from
+    both's counts: by how many standard errors."""
+    (a, a2), (b, b2), out = own, other, {}
     for g, x in a.items():
         if x >= 5 and x / n >= TIMES * b[g] / m:
             spread = (a2[g] + b2[g]) / (n + m) - ((x + b[g]) / (n + m)) ** 2
@@ -142,24 +142,15 @@ class Model:
 class Scorer:
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.toxic, self.ordinary = (
-            zstandard.ZstdCompressor(
-                level=LEVEL,
-                dict_data=zstandard.ZstdCompressionDict(d + HEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-                write_content_size=False,
-                write_dict_id=False,
-            )
-            for d in (model.toxic, model.ordinary)
-        )
+        self.toxic, self.ordinary = map(_compressor, (model.toxic, model.ordinary))
 
     def distances(self, text: str) -> np.ndarray:
         """Of each window, by how many bytes the toxic dictionary makes it shorter than the ordinary one."""
-        toxic, ordinary = self.toxic.compress, self.ordinary.compress
-        out = []
-        for w in windows(text):
-            x = b"%b %b %b" % (HEAD, w.encode("utf-8", "surrogatepass"), TAIL)
-            out.append(len(ordinary(x)) - len(toxic(x)))
-        return np.array(out, float)
+        found = [b"%b %b %b" % (HEAD, w.encode("utf-8", "surrogatepass"), TAIL) for w in windows(text)]
+        if not found:
+            return np.zeros(0)
+        ordinary, toxic = (np.fromiter(map(len, c.multi_compress_to_buffer(found)), float, len(found)) for c in (self.ordinary, self.toxic))
+        return ordinary - toxic
 
     def features(self, batch: list[str]) -> np.ndarray:
         """Of each text: sums of its 1, 2, 4 and 8 greatest distances, their mean, and the numbers of
@@ -178,6 +169,12 @@ class Scorer:
         return _sigmoid(self.model.constant + self.features(batch) @ np.array(self.model.weights))
 
 
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    d = zstandard.ZstdCompressionDict(content + HEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)
+
+
 N_FEATURES = 5 + 2 * len(SHORTER)
 
 
@@ -205,7 +202,8 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     own, other = toxic[::2], ordinary[::2]
     own_half, other_half = toxic[1::2] or toxic, ordinary[1::2] or ordinary
     y = np.concatenate([np.ones(len(own_half)), np.zeros(len(other_half))])
-    more, less, best = apart(own, other), apart(other, own), None
+    a, b, best = _counts(own), _counts(other), None
+    more, less = apart(a, len(own), b, len(other)), apart(b, len(other), a, len(own))
     for least in APART:
         plain = Model(*dictionaries(own, other, more, less, least), 0.0, ())
         x = plain.scorer().features([*own_half, *other_half])

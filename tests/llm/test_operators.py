@@ -1,7 +1,6 @@
 """Operators against brute force, and on odd rows."""
 
 import hashlib
-import json
 import math
 import random
 import re
@@ -91,6 +90,8 @@ def test_token_file_frames(tmp_path, monkeypatch):
         assert {r.doc_id(i): r.ids(i) for i in range(3)} == raw and r.doc_id(3) is None
         assert [r.n_tokens(i) for i in range(4)] == [0, 8, 21, 1] and list(r.find(9)) == [2] and list(r.find(0)) == []
         assert len(r.frames) == 6
+        for block in (1, 30, 1 << 20):
+            assert list(r.documents(block)) == [*raw.values(), b"\1\0\0\0"]
     data = bytearray(open(path, "rb").read())
     assert zstandard.ZstdDecompressor().decompressobj().decompress(bytes(data))[:0] == b""
     data[r.starts[4] + 14] ^= 255
@@ -395,22 +396,3 @@ def test_components(spark):
     nodes = {x for e in edges if e[0] != e[1] for x in e}
     assert got == roots(nodes, [e for e in edges if e[0] != e[1]])
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
-
-
-def test_pipeline(spark, docs, tmp_path):
-    import corpus_pipeline
-
-    rng = random.Random(4)
-    near = variants(rng, 8, 400, 2)
-    item = prose(rng, 30)
-    rows = [*[(i, t) for i, t in enumerate(near)], *[(20 + i, prose(rng, 100)) for i in range(40)], *[(70 + i, prose(rng, 30) + " " + item) for i in range(5)], (None, None), (90, ""), (90, "")]
-    folder = f"{tmp_path}/t"
-    docs(rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
-    out = corpus_pipeline.run(spark, folder).collect()
-    ids = Counter(r["doc_id"] for r in out)
-    assert not ids.keys() & ({*range(1, 8)} | {*range(70, 75)}) and len(ids) > 10
-    assert json.dumps(sorted(len(s) for s, _ in corpus_pipeline.STAGES)) and [s for s, _ in corpus_pipeline.STAGES][-1] == "token_files"
-    starts = sorted((r["start"], r["n_tokens"]) for r in out)
-    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
