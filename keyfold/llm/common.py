@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -14,24 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir.
-
-    Where it is unset a temporary one serves, on a local master only: elsewhere executors
-    would not see it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="keyfold-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+from keyfold.session import new_folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/keyfold/{name}-{uuid.uuid4().hex}"
+    return new_folder(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -60,12 +45,6 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete all tables that operators have left in the shared folder, once results are stored
-    elsewhere: a result reads them until then."""
-    delete_path(spark, f"{shared_dir(spark)}/keyfold")
-
-
 class Scratch:
     """Tables in the shared folder that go when the block ends: ``keep(df, name)`` writes one and
     reads it back, ``own(df)`` takes over those that ``df`` reads."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keyfold.llm.common import connected_components, delete_path, free_name, materialize, release, stored, text_or_empty, texts
+from keyfold.llm.common import Scratch, connected_components, delete_path, free_name, materialize, release, stored, text_or_empty, texts
 from keyfold.llm.pieces import gather
 
 SEED = 42
@@ -81,10 +82,21 @@ def block_lanes(bits: int, radius: int) -> list[np.ndarray]:
     return np.array_split(np.arange(bits), radius + 1)
 
 
-def sampled_lanes(bits: int, width: int) -> list[np.ndarray]:
-    """Disjoint sets of ``width`` bits, dealt by a fixed shuffle."""
-    order = np.random.default_rng(SEED).permutation(bits)
-    return [order[i : i + width] for i in range(0, bits - width + 1, width)]
+def sampled_lanes(bits: int, width: int, n: int) -> list[np.ndarray]:
+    """``n`` sets of ``width`` bits, dealt by fixed shuffles; those of one shuffle are disjoint."""
+    rng, out = np.random.default_rng(SEED), []
+    while len(out) < n:
+        order = rng.permutation(bits)
+        out += [order[i : i + width] for i in range(0, bits - width + 1, width)]
+    return out[:n]
+
+
+def lanes_for(n_prints: int, bits: int, apart: float, missed: float, tile: int = TILE) -> list[np.ndarray]:
+    """Sampled lanes for so many fingerprints: as wide as makes a lane's value hold a tile on
+    average, and so many that of pairs ``apart`` bits apart the share ``missed`` agrees in none."""
+    width = min(32, max(10, math.ceil(math.log2(max(1, n_prints) / tile))))
+    agree = (1 - apart / bits) ** width
+    return sampled_lanes(bits, width, math.ceil(math.log(missed) / math.log1p(-agree)))
 
 
 def _deal(lanes: list[np.ndarray]):
@@ -234,9 +246,9 @@ def _set_prints(size: int, words: int):
             for t in texts(batch.column("text")):
                 h = np.unique(shingle_hashes(t, size))
                 prints.append(majority(h, words).byteswap().tobytes())
-                keys.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                keys.append(xxhash.xxh3_128_digest(h.tobytes(), SEED))
                 sizes.append(len(h))
-            columns = [pa.array(prints, pa.binary()), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())]
+            columns = [pa.array(prints, pa.binary()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("text_hash"), *columns], names=["id", "text_hash", "fp", "key", "n"]
             )
@@ -249,8 +261,8 @@ def _sets(size: int):
         for batch in batches:
             sets = [np.unique(shingle_hashes(t, size)).tobytes() for t in texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("grp"), batch.column("key"), batch.column("tiles"), pa.array(sets, pa.binary())],
-                names=["grp", "key", "tiles", "hashes"],
+                [batch.column("grp"), batch.column("node"), batch.column("tiles"), pa.array(sets, pa.binary())],
+                names=["grp", "node", "tiles", "hashes"],
             )
 
     return run
@@ -292,11 +304,11 @@ def _confirm(least: float):
         for batch in batches:
             found = []
             hashes = batch.column("hashes")
-            for r, (*place, key) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("grp", "i", "j", "key")), strict=True)):
+            for r, (*place, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("grp", "i", "j", "node")), strict=True)):
                 if place != now:
                     found += links(list(held), list(held.values()))
                     now, held = place, {}
-                held[key] = np.frombuffer(hashes[r].as_py(), np.uint64)
+                held[node] = np.frombuffer(hashes[r].as_py(), np.uint64)
             yield _pairs(found)
         yield _pairs(links(list(held), list(held.values())))
 
@@ -306,52 +318,79 @@ def _confirm(least: float):
     return run
 
 
-def confirmed_links(slim: DataFrame, groups: DataFrame, shingle: int, least: float) -> DataFrame:
+#: Cells of the filter that keeps texts from being moved that no candidate needs; bounds its broadcast.
+FILTER_CELLS = 1 << 20
+
+
+def only_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose (id, text_hash) is not in ``wanted``; none of these goes.
+
+    Rows whose hash falls in a cell that no wanted row has stay where they are read. There are
+    FILTER_CELLS cells at most. The more of them are taken, the fewer rows the filter keeps
+    back: then the join after it does.
+    """
+    cell = lambda *c: F.pmod(F.xxhash64(*c, F.lit(1)), F.lit(FILTER_CELLS)).alias("_cell")
+    cells = wanted.select(cell("own_id", "own_hash")).distinct()
+    return rows.withColumn("_cell", cell("id", "text_hash")).join(F.broadcast(cells), "_cell", "left_semi").drop("_cell")
+
+
+def confirmed_links(slim: DataFrame, groups: DataFrame, shingle: int, least: float, keep: Scratch) -> DataFrame:
     """Links (src, dst) that span, in each group, the sets of Jaccard similarity ``least`` or more.
 
-    ``groups(grp, key, n, id, text_hash)`` names for each shingle set a row of ``slim`` that has it.
+    ``groups(grp, node, n, id, text_hash)`` names for each shingle set a row of ``slim`` that has it.
     All sets of a group are compared, in pairs of tiles as in ``link_fingerprints``.
     """
     full = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("hashes")).where("sets > 1")
     tiles = F.ceil(F.greatest(F.col("sets") / TILE_SETS, F.col("hashes") / TILE_HASHES)).cast("int")
     # coalesce() hides how the sums are dealt, so that AQE can split a large group
     full = full.select(F.coalesce("grp", F.lit(0).cast("long")).alias("grp"), tiles.alias("tiles"))
-    wanted = materialize(groups.join(full, "grp").withColumnRenamed("id", "own_id").withColumnRenamed("text_hash", "own_hash"), "wanted")
-    found = slim.join(wanted, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
-    sets = found.select("grp", "key", "tiles", "text").mapInArrow(_sets(shingle), "grp long, key long, tiles int, hashes binary")
-    sets = sets.withColumn("t", F.pmod(F.hash("key"), F.col("tiles"))).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    sets = sets.select("grp", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "key", "hashes")
+    wanted = keep(groups.join(full, "grp").withColumnRenamed("id", "own_id").withColumnRenamed("text_hash", "own_hash"), "wanted")
+    found = only_wanted(slim, wanted).join(wanted, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
+    sets = found.select("grp", "node", "tiles", "text").mapInArrow(_sets(shingle), "grp long, node long, tiles int, hashes binary")
+    sets = sets.withColumn("t", F.pmod(F.hash("node"), F.col("tiles"))).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    sets = sets.select("grp", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "node", "hashes")
     sets = sets.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    return materialize(sets.mapInArrow(_confirm(least), "src long, dst long").distinct(), "confirmed")
+    return keep(sets.mapInArrow(_confirm(least), "src long, dst long").distinct(), "confirmed")
+
+
+#: Bits that differ on average in 256-bit fingerprints of sets at SIMILARITY, the radius of
+#: candidates, and the share of pairs at SIMILARITY that meet in no lane.
+MEAN_APART, RADIUS, MISSED = 38.8, 54, 0.005
 
 
 def _near_classes(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, text_hash, fp, key, n), and for each key the first (id, text_hash) of its component.
+    """Rows (id, text_hash, key, fp, n), and for each key the first (id, text_hash) of its component.
 
-    Rows of one key have equal shingle sets. Null ids are never first.
+    Rows of one key have equal shingle sets, by 128 bits of hash. Null ids are never first. Only
+    these two tables stay in the shared folder.
     """
-    text = text_or_empty(text_col)
+    spark, text = docs.sparkSession, text_or_empty(text_col)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    prints = materialize(slim.mapInArrow(_set_prints(shingle, 4), "id long, text_hash long, fp binary, key long, n long"), "fingerprints")
+    prints = materialize(slim.mapInArrow(_set_prints(shingle, 4), "id long, text_hash long, fp binary, key binary, n long"), "fingerprints")
     row = F.struct("id", "text_hash")
     classes = prints.groupBy("key").agg(
         F.min(F.when(F.col("id").isNotNull(), row)).alias("first"), F.min(row).alias("any"), F.min("fp").alias("fp"), F.min("n").alias("n")
     )
-    classes = materialize(classes, "classes")
-    worded = classes.where("n > 0")
-    links = link_fingerprints(worded.select("fp").distinct(), 54, sampled_lanes(256, 10))
-    node = F.xxhash64("fp")
-    near = connected_components(links.select(F.xxhash64("a").alias("src"), F.xxhash64("b").alias("dst")))
-    groups = worded.withColumn("node", node).join(near, "node", "left").select(
-        F.coalesce("root", "node").alias("grp"), "key", "n", F.col("any.id").alias("id"), F.col("any.text_hash").alias("text_hash")
-    )
-    linked = connected_components(confirmed_links(slim, materialize(groups, "groups"), shingle, SIMILARITY))
-    members = linked.join(classes.select("first", F.col("key").alias("node")), "node").select("node", "first", "root")
-    least = members.groupBy("root").agg(F.min("first").alias("least"))
-    # as in components()
-    least = least.select(F.coalesce("root", F.lit(0).cast("long")).alias("root"), "least")
-    members = members.join(least, "root").select(F.col("node").alias("key"), "least")
-    return prints, materialize(classes.join(members, "key", "left").select("key", F.coalesce("least", "first").alias("first")), "components")
+    with Scratch(spark) as keep:
+        # numbered once, in the table that is read from here on
+        classes = keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+        worded = classes.where("n > 0")
+        distinct = worded.select("fp").distinct()
+        links = keep.own(link_fingerprints(distinct, RADIUS, lanes_for(worded.count(), 256, MEAN_APART, MISSED)))
+        # equal hashes of fingerprints would only make one group of two
+        near = keep.own(connected_components(links.select(F.xxhash64("a").alias("src"), F.xxhash64("b").alias("dst"))))
+        place = F.xxhash64("fp")
+        groups = worded.withColumn("place", place).join(near.withColumnRenamed("node", "place"), "place", "left").select(
+            F.coalesce("root", "place").alias("grp"), "node", "n", F.col("any.id").alias("id"), F.col("any.text_hash").alias("text_hash")
+        )
+        linked = keep.own(connected_components(confirmed_links(slim, keep(groups, "groups"), shingle, SIMILARITY, keep)))
+        members = linked.join(classes.select("first", "node"), "node").select("node", "first", "root")
+        least = members.groupBy("root").agg(F.min("first").alias("least"))
+        # as in components()
+        least = least.select(F.coalesce("root", F.lit(0).cast("long")).alias("root"), "least")
+        members = members.join(least, "root").select("node", "least")
+        found = classes.join(members, "node", "left").select("key", F.coalesce("least", "first").alias("first"))
+        return prints, materialize(found, "components")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,8 +399,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, id_col: str = "doc_id"
     Candidates come from fingerprints of 256 bits. Shingle sets of Jaccard similarity 0.8 have a
     cosine of 8/9, so 38.8 of 256 bits differ on average, by 5.7 either way; a radius of 54 takes
     in 99.6 of 100 such pairs and nearly all that are closer, while unrelated texts differ in 128
-    bits. Pairs meet if one of 25 sets of ten bits agrees: at least 0.995 of pairs at the
-    threshold, more above.
+    bits. Pairs meet if one lane of sampled bits agrees: 0.995 of pairs at the threshold, more above.
+    The lanes are the wider, and the more, the more fingerprints there are, so that the share
+    stays and a lane's value holds no more than a tile on average.
 
     Candidates that hang together form a group. In it the shingle sets themselves are compared,
     all with all, and only pairs of Jaccard similarity 0.8 or more are links. Equal sets are one
@@ -378,7 +418,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     Rows of one id in several groups are told apart by their texts. Rows of null ids stay as they
     are: they can't be told apart.
     """
-    _, found = _near_classes(docs.where(F.col(id_col).isNotNull()), 5, id_col, text_col)
+    with Scratch(docs.sparkSession) as keep:
+        prints, found = _near_classes(docs.where(F.col(id_col).isNotNull()), 5, id_col, text_col)
+        keep.own(prints)
     name, own, place = free_name(docs, "_kept"), free_name(docs, "_text_hash"), free_name(docs, "_rank")
     kept = found.select(F.col("first.id").alias(name), F.col("first.text_hash").alias(own)).distinct()
     text_hash = F.xxhash64(text_or_empty(text_col))
