@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -78,8 +79,9 @@ def lanes_of(prints: np.ndarray, lanes: list[np.ndarray]) -> np.ndarray:
 
 
 def block_lanes(bits: int, radius: int) -> list[np.ndarray]:
-    """radius + 1 disjoint runs of bits: fingerprints within the radius agree in one at least."""
-    return np.array_split(np.arange(bits), radius + 1)
+    """All pairs of radius + 2 disjoint runs of bits: fingerprints within the radius agree in two runs
+    at least, and so in one lane. Lanes of one run would be half as wide, and so let many more meet."""
+    return [np.concatenate(p) for p in combinations(np.array_split(np.arange(bits), radius + 2), 2)]
 
 
 def sampled_lanes(bits: int, width: int, n: int) -> list[np.ndarray]:
