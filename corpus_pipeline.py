@@ -1,11 +1,16 @@
-"""From raw documents to token files: five stages, each written and reread by the next."""
+"""From raw documents to token files: five stages, each written and reread by the next.
+
+Null texts count as empty, and rows of null ids go through every stage. Repeated rows, and equal texts,
+come down to one in ``near_duplicates``, but for those of null ids. Every stage but the last returns
+the columns that it was given, whatever their names; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from keyfold.llm import decontamination, mixing, simhash_dedup, token_files, toxicity
-from keyfold.llm.common import materialize, table
+from keyfold.llm.common import delete_path, stored, table
 from keyfold.llm.queries import END_ID, MIX_SEED, REST, WEIGHTS, tokenizer
 
 
@@ -48,7 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's table goes once the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            delete_path(spark, before)
+        before = path
     return docs
